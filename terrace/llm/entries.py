@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe
+from terrace.llm import bpe, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
 }
 
