@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, mixing
+from terrace.llm import bpe, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
