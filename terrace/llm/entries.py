@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, mixing, quality
+from terrace.llm import bpe, language, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op8_quality": quality.op8_quality,
+    "op9_language": language.op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
