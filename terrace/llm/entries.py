@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, language, mixing, quality
+from terrace.llm import bpe, language, mixing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_tokens": tokens.op3_tokens,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op8_quality": quality.op8_quality,
