@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, language, mixing, quality, simhash, tokens
+from terrace.llm import bpe, language, mixing, quality, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": substrings.op1_substrings,
     "op2_simhash": simhash.op2_simhash,
     "op3_tokens": tokens.op3_tokens,
     "op4_mixing": mixing.op4_mixing,
