@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, language, mixing, quality, simhash, substrings, tokens
+from terrace.llm import bpe, language, mixing, quality, simhash, substrings, suffixes, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": substrings.op1_substrings,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": bpe.op5_bpe,
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,
+    "op10_suffixes": suffixes.op10_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {}

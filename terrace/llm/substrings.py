@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from terrace.llm import windows
 from terrace.llm.common import table
 
-WINDOW, GRAM, PIECE = 20, 8, 2
+WINDOW, GRAM, PIECE, HOT = 20, 8, 2, 256
 
 
 def word_units(text: str) -> tuple[list[bytes], np.ndarray]:
@@ -37,7 +37,7 @@ def word_units(text: str) -> tuple[list[bytes], np.ndarray]:
         return words, (h + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
 
-SPEC = windows.Spec(WINDOW, GRAM, PIECE, word_units, b" ".join)
+SPEC = windows.Spec(WINDOW, GRAM, PIECE, HOT, word_units, b" ".join)
 
 
 class SuffixAutomaton:
@@ -159,14 +159,14 @@ def removals(texts: DataFrame, found: DataFrame, hot: np.ndarray, spec: windows.
     return sent.mapInPandas(match, "doc long, first int, count int")
 
 
-def deduplicate(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, keep_text: bool = True, spec: windows.Spec = SPEC) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and, if wanted, ``kept`` (the words left, joined by one blank) and ``removed`` (spans of word numbers, end exclusive).
 
     A null text has no words; texts shorter than a window lose nothing; of equal
     rows the later ones count as later documents; an empty table gives an empty one.
     """
     rows = windows.numbered(docs)
-    found, hot = windows.candidates(rows, SPEC)
+    found, hot = windows.candidates(rows, spec)
     texts = windows.dealt(rows)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +174,7 @@ def deduplicate(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             out = []
             for text, firsts, counts in zip(pdf["text"], pdf["firsts"], pdf["counts"]):
                 words = text.encode().split() if isinstance(text, str) else []
-                gone = windows.spans(firsts, counts, WINDOW) if firsts is not None else []
+                gone = windows.spans(firsts, counts, spec.length) if firsts is not None else []
                 kept, at = [], 0
                 for a, b in gone:
                     kept += words[at:a]
@@ -188,7 +188,7 @@ def deduplicate(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     shape = "n_words long, n_removed long, kept_sha256 string" + ", kept string, removed array<array<int>>" * keep_text
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(shape).fields])
-    return windows.with_removals(texts, removals(texts, found, hot)).mapInPandas(finish, schema)
+    return windows.with_removals(texts, removals(texts, found, hot, spec)).mapInPandas(finish, schema)
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
