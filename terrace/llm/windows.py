@@ -43,12 +43,13 @@ class Spec:
     gram: int
     #: Windows of a segment that share a shard where the anchor is hot.
     piece: int
-    #: An anchor is hot in its partition if it has more occurrences than this, and than an eighth of the partition's rows.
+    #: An anchor is hot in its partition if it has more occurrences than this, and than one in ``share`` of the partition's rows.
     hot: int
     #: A text's units, as a sequence that slices, and their hashes.
     units: Callable[[str], tuple[object, np.ndarray]]
     #: The bytes of a slice of units.
     join: Callable[[object], bytes]
+    share: int = 8
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def candidates(rows: DataFrame, spec: Spec) -> tuple[DataFrame, np.ndarray]:
         out = pd.DataFrame({"doc": doc[several], "pos": pos[several]})
         for i in range(0, len(out), ROWS):
             yield out.iloc[i : i + ROWS].assign(hot=None).astype({"hot": "Int64"})
-        hot = np.flatnonzero(total > max(spec.hot, len(key) // 8))
+        hot = np.flatnonzero(total > max(spec.hot, len(key) // spec.share))
         hot = hot[np.argsort(-total[hot], kind="stable")][:HOT_IN_PARTITION]
         yield pd.DataFrame({"doc": np.full(len(hot), -1), "pos": np.full(len(hot), -1, np.int32), "hot": pd.array(key[first[hot]], "Int64")})
 
