@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from terrace.llm.common import materialise, table
 
 SAMPLE, BRANCHES, LEAF, TURNS = 16_000, 8, 256, 12
-RECALL, CALIBRATION = 0.97, 400
+RECALL, CALIBRATION = 0.985, 400
 PART, PACK = 2_000, 2_000
 
 
