@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, language, mixing, neighbours, quality, simhash, substrings, suffixes, tokens
+from terrace.llm import bpe, language, mixing, neighbours, private, quality, simhash, substrings, suffixes, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": substrings.op1_substrings,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tokens": tokens.op3_tokens,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
+    "op6_private": private.op6_private,
     "op7_neighbours": neighbours.op7_neighbours,
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,
