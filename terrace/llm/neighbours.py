@@ -188,8 +188,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         if not len(index) or not len(queries):
             return none
         vs, ids = np.array(index["v"].tolist()), index["vec_id"].to_numpy(np.int64)
-        norms, out = np.sqrt((vs * vs).sum(1)), []
-        unit = _unit(vs)
+        with np.errstate(over="ignore", under="ignore"):
+            norms, out = np.sqrt((vs * vs).sum(1)), []
+        unit, plain = _unit(vs), np.isfinite(norms) & (norms > 1e-150)
         for q, v in zip(queries["query_id"].tolist(), queries["q"]):
             v = np.asarray(v, np.float64)
             rough = unit @ _unit(v[None])[0]
@@ -197,8 +198,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             least = np.partition(rough, -k)[-k] if len(rough) > k else -2
             near = np.flatnonzero(rough >= max(least - 1e-9, -2))
             with np.errstate(all="ignore"):
-                score = (vs[near] * v).sum(1) / (norms[near] * np.sqrt((v * v).sum()))
-            score = np.where(np.isfinite(score), score, rough[near])
+                own = np.sqrt((v * v).sum())
+                score = (vs[near] * v).sum(1) / (norms[near] * own)
+            # Where squares leave the range of doubles, the scaled vectors' product stands.
+            score = np.where(plain[near] & np.isfinite(own) & (own > 1e-150) & np.isfinite(score), score, rough[near])
             best = np.lexsort((ids[near], -score))[:k]
             out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][best], "score": score[best]}))
         return pd.concat(out)

@@ -93,7 +93,7 @@ def base(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit, without the punctuation around them, that touch no span of ``taken``."""
+    """Tokens with a digit, without the punctuation around them; those that a span of ``taken`` covers or crosses are left out, those that hold one are not."""
     end = 0
     starts = [a for _, a, _ in taken]
     reach = [*accumulate((b for _, _, b in taken), max)]
@@ -107,8 +107,9 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
         token = text[start:end]
         a = start + len(token) - len(token.lstrip(EDGES))
         b = end - (len(token) - len(token.rstrip(EDGES)))
-        before = bisect_left(starts, b)
-        if a < b and not (before and reach[before - 1] > a):
+        first, last = bisect_left(starts, a), bisect_left(starts, b)
+        inside = all(z <= b and (y, z) != (a, b) for _, y, z in taken[first:last])
+        if a < b and inside and not (first and reach[first - 1] > a):
             yield a, b
         m = DIGIT.search(text, end)
 
