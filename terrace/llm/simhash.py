@@ -31,6 +31,8 @@ from terrace.llm.graph import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints that a shard should hold on average, at most; decides the number of blocks.
 SHARD = 32
+#: Fingerprints of a chunk, where a shard has more than twice as many.
+CHUNK = 8192
 #: Nodes of the trees searched together, and pairs of query and node looked at in one step.
 FOREST, PAIRS = 50_000, 2_000_000
 
@@ -130,7 +132,7 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def link(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """``a, b``: links that connect distinct fingerprints (column ``fp``) as all pairs within ``radius`` do."""
     chosen = masks(fps.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
@@ -142,8 +144,8 @@ def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             return
         rows = np.concatenate(got)
         rows = rows[np.lexsort(rows.T[::-1])]
-        fp, new = rows[:, 2], np.ones(len(rows), bool)
-        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+        fp, new = rows[:, 3], np.ones(len(rows), bool)
+        new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
         root = np.flatnonzero(new)[np.cumsum(new) - 1]
         several = np.bincount(root, minlength=len(rows))[root] > 1
         fp, root = fp[several].view(np.uint64), (np.cumsum(several) - 1)[root[several]]
@@ -157,7 +159,13 @@ def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pd.DataFrame({"a": part[linked], "b": part[first[linked]]})
             begin = end
 
-    return keyed.select("mask", "key", "fp").repartition("mask", "key").mapInPandas(run, "a long, b long")
+    # Fingerprints close to each other can fill a shard however many there are.  Such a shard is cut into chunks, and each
+    # pair of chunks is a shard of its own: no pair of fingerprints is lost and no task holds more than two chunks.
+    full = keyed.groupBy("mask", "key").count().where(F.col("count") > 2 * chunk).select("mask", "key", F.ceil(F.col("count") / chunk).alias("chunks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.least(own, other) * F.col("chunks") + F.greatest(own, other))
+    dealt = keyed.join(full, ["mask", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select("mask", "key", F.explode(cell).alias("cell"), "fp")
+    return dealt.repartition("mask", "key", "cell").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
