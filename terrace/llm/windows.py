@@ -217,10 +217,11 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def with_candidates(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``_doc, text, listed``: the texts that hold repeated anchors and where; other rows have nulls."""
+    """``_doc, doc_id, text, listed``: the texts that hold repeated anchors and where; other rows have nulls."""
     lists = found.groupBy("doc").agg(F.collect_list("pos").alias("listed"))
     joined = texts.join(lists, F.col("_doc") == F.col("doc"), "left")
-    return joined.select("_doc", F.when(F.col("listed").isNotNull(), F.col("text")).alias("text"), "listed")
+    # doc_id stays, so that this join and the last one ask for the same columns and share one exchange.
+    return joined.select("_doc", "doc_id", F.when(F.col("listed").isNotNull(), F.col("text")).alias("text"), "listed")
 
 
 def with_removals(texts: DataFrame, removals: DataFrame) -> DataFrame:
