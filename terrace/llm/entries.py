@@ -21,4 +21,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffixes": suffixes.op10_suffixes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Windows of 20 words; those that are not the first of their words, and the words that they cover.
+SUBSTRINGS = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM docs WHERE len(words) >= 20),
+keys AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS k FROM starts),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM keys),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM ranked WHERE n > 1),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS line, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
+#: Windows of 100 bytes, written as 200 hex digits; runs of those that are not the first of their bytes.
+SUFFIXES = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM docs WHERE len(h) >= 200),
+keys AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM starts),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM keys),
+later AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS opens FROM ranked WHERE n > 1),
+runs AS (SELECT doc_id, i, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, b AS p, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS q FROM spans UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS h FROM edges JOIN docs USING (doc_id) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substrings": SUBSTRINGS, "op10_suffixes": SUFFIXES}
