@@ -84,6 +84,3 @@ def copy_level(df: DataFrame, dims: Sequence[str], variables: Sequence[str]) ->
     """Level 0: the cells as they are, without other columns."""
     return df.select(*dims, *variables)
 
-
-def sizes_after(sizes: Mapping[str, int], strides: Mapping[str, int]) -> dict[str, int]:
-    return {d: window_axis(n, strides.get(d, 1))[1] for d, n in sizes.items()}

@@ -9,14 +9,14 @@ aggregations has one shuffle.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.reduce import check_method
-from terrace.operators.coarsen import MAX_DIMS, coarsen, copy_level, sizes_after
+from terrace.operators.coarsen import MAX_DIMS, coarsen, copy_level
 from terrace.operators.coords import coarsen_coords
 from terrace.plans.layout import CHUNKS_PER_SHARD, TARGET_BYTES, Layout, check_shards, recommend_encoding, region_count
 from terrace.plans.metadata import LayerHint, multiscale_attrs
@@ -71,7 +71,6 @@ class Pyramid:
     encoding: dict[str, dict[str, Layout]]
     attrs: dict[str, Any]
     promote: bool = False
-    fills: dict[str, float | None] = field(default_factory=dict)
 
     @property
     def levels(self) -> int:
@@ -205,7 +204,4 @@ def create_pyramid(
         templates[i] = replace(templates[i], variables=unchunked, coords=coarsen_coords(templates[i - 1].coords, {x_dim: step, y_dim: step}))
     encoding = {f"/{i}": recommend_encoding(t, x_dim=x_dim, y_dim=y_dim, target_chunk_bytes=target_chunk_bytes, chunks_per_shard=chunks_per_shard) for i, t in enumerate(templates)}
     attrs = multiscale_attrs(ds, templates, steps, method, x_dim, y_dim, layer_hints)
-    return Pyramid(ds, x_dim, y_dim, method, steps, templates, encoding, attrs, fills={v.name: v.fill for v in spatial})
-
-
-__all__ = ["Pyramid", "create_pyramid", "level_sizes", "resolve_factors", "sizes_after"]
+    return Pyramid(ds, x_dim, y_dim, method, steps, templates, encoding, attrs)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import Any
@@ -138,6 +137,3 @@ def coordinate_spacing(coords: DataFrame, dim: str) -> DataFrame:
     near = F.forall("steps", lambda s: F.abs(s - F.col("resolution")) <= ABSOLUTE + RELATIVE * F.abs(F.col("resolution")))
     return found.select(F.lit(dim).alias("dim"), "n", "resolution", "origin", near.alias("uniform"))
 
-
-def is_nan(x: float | None) -> bool:
-    return x is not None and isinstance(x, float) and math.isnan(x)

@@ -11,12 +11,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions.reduce import missing
@@ -65,14 +64,6 @@ def without_empty(df: DataFrame, dims: Sequence[str], region: Sequence[int], var
     return keyed.join(blocks, [f"{d}_block" for d in dims], "left_semi").select(*df.columns)
 
 
-@dataclass
-class LevelStats:
-    rows: int
-    wall_s: float
-    region_shapes: dict[str, tuple[int, ...]]
-    regions: int
-
-
 def write(pyramid: Pyramid, root: str, *, mode: str = "w", levels: Sequence[int] | None = None, keep_levels_in_memory: bool | None = None, skip_empty: bool = True, stats: bool = False, on_level: Any = None) -> dict[int, dict] | None:
     """Write levels in order.  ``w`` starts the store anew, ``w-`` refuses one that exists, ``a`` replaces only what it writes.
 
@@ -120,11 +111,8 @@ def write(pyramid: Pyramid, root: str, *, mode: str = "w", levels: Sequence[int]
             # Absent windows would be 0 rather than missing in a sum.
             sparse = skip_empty and pyramid.method != "sum"
             put = without_empty(df, dims, region, variables) if sparse else df
-            observed = F.count(F.lit(1)).alias("rows")
-            from pyspark.sql import Observation
-
             seen = Observation(f"level-{n}-{'-'.join(dims)}-{time.time_ns()}")
-            put.observe(seen, observed).write.mode("overwrite").parquet(cells_path(root, dims, n))
+            put.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(cells_path(root, dims, n))
             rows += seen.get["rows"]
             if previous is not None:
                 previous.unpersist()
