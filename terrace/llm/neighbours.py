@@ -7,8 +7,9 @@ priority queue holds the nodes not yet opened by their distance, and leaves are
 visited in the order in which they come out.  How many is calibrated on the sample:
 visits are widened until the neighbours found there reach ``RECALL``.
 
-Rows of a leaf are cut into parts of about ``PART`` rows and its queries into packs
-of about ``PACK``; each part and pack meet in one task, however full the leaf is.
+Leaves are gathered into groups of about ``PART`` rows, fuller ones spread over
+several, and queries into packs of about ``PACK``; each group and pack meet in one
+task, which scores them by one matrix product and keeps what lies in leaves visited.
 """
 
 from __future__ import annotations
@@ -169,44 +170,60 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     # One number for each leaf of the tree.
     filled = dict(indexed.groupBy("leaf").count().collect())
 
+    # Leaves in order fill groups of about PART rows; a fuller leaf spreads over several.
+    span, at, room = {}, 0, PART
+    for leaf in sorted(filled):
+        parts = -(-filled[leaf] // PART)
+        if filled[leaf] > room:
+            at, room = at + 1, PART
+        span[leaf] = (at, parts)
+        at, room = (at + parts - 1, room - filled[leaf]) if parts == 1 else (at + parts, PART)
+    packs = max(1, -(-indexed.where("asked").count() // PACK))
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for q, v in zip(pdf["vec_id"], pdf["v"]):
                 seen = held.value.order(_unit(np.array([v]))[0], lambda out: len(out) >= visits and sum(filled.get(x, 0) for x in out) > k + 1)
-                yield pd.DataFrame({"query_id": q, "q": [v] * len(seen), "leaf": seen})
+                groups = sorted({g for x in seen if x in span for g in range(span[x][0], span[x][0] + span[x][1])})
+                yield pd.DataFrame({"query_id": q, "q": [v] * len(groups), "seen": [seen] * len(groups), "group": groups})
 
-    walks = materialise(indexed.where("asked").select("vec_id", "v").mapInPandas(walk, "query_id long, q array<double>, leaf long"), "walks")
-    asked = dict(walks.groupBy("leaf").count().collect())
-    shape = [(leaf, -(-n // PART), -(-asked[leaf] // PACK)) for leaf, n in filled.items() if leaf in asked]
-    leaves = F.broadcast(spark.createDataFrame(shape, "leaf long, parts long, packs long"))
-    cells = ["leaf", "part", "pack"]
-    left = indexed.select("vec_id", "v", "leaf").join(leaves, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
-    right = walks.join(leaves, "leaf").withColumn("pack", F.pmod(F.xxhash64("query_id"), F.col("packs"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            first, parts = (np.array([span[x][i] for x in pdf["leaf"]], np.int64) for i in (0, 1))
+            mixed = pdf["vec_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            pdf = pdf.assign(group=first + mixed.astype(np.int64) % parts)
+            for pack in range(packs):
+                yield pdf.assign(pack=pack)
 
     def meet(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         if not len(index) or not len(queries):
             return none
-        vs, ids = np.array(index["v"].tolist()), index["vec_id"].to_numpy(np.int64)
+        vs, ids, asked = np.array(index["v"].tolist()), index["vec_id"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64)
+        qs = np.array(queries["q"].tolist())
         with np.errstate(over="ignore", under="ignore"):
-            norms, out = np.sqrt((vs * vs).sum(1)), []
-        unit, plain = _unit(vs), np.isfinite(norms) & (norms > 1e-150)
-        for q, v in zip(queries["query_id"].tolist(), queries["q"]):
-            v = np.asarray(v, np.float64)
-            rough = unit @ _unit(v[None])[0]
-            rough[ids == q] = -3
-            least = np.partition(rough, -k)[-k] if len(rough) > k else -2
-            near = np.flatnonzero(rough >= max(least - 1e-9, -2))
+            norms, owns = np.sqrt((vs * vs).sum(1)), np.sqrt((qs * qs).sum(1))
+        plain = np.isfinite(norms) & (norms > 1e-150)
+        rough = _unit(qs) @ _unit(vs).T
+        leaves, leaf = np.unique(index["leaf"].to_numpy(np.int64), return_inverse=True)
+        visited = np.array([np.isin(leaves, seen) for seen in queries["seen"]])
+        rough[~visited[:, leaf] | (ids == asked[:, None])] = -3
+        least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(asked), -2.0)
+        out = []
+        for i, q in enumerate(asked.tolist()):
+            near = np.flatnonzero(rough[i] >= max(least[i] - 1e-9, -2))
             with np.errstate(all="ignore"):
-                own = np.sqrt((v * v).sum())
-                score = (vs[near] * v).sum(1) / (norms[near] * own)
+                score = (vs[near] * qs[i]).sum(1) / (norms[near] * owns[i])
             # Where squares leave the range of doubles, the scaled vectors' product stands.
-            score = np.where(plain[near] & np.isfinite(own) & (own > 1e-150) & np.isfinite(score), score, rough[near])
+            score = np.where(plain[near] & np.isfinite(owns[i]) & (owns[i] > 1e-150) & np.isfinite(score), score, rough[i, near])
             best = np.lexsort((ids[near], -score))[:k]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out)
+            out += zip([q] * len(best), ids[near][best].tolist(), score[best].tolist())
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = left.select(*cells, "vec_id", "v").groupBy(*cells).cogroup(right.select(*cells, "query_id", "q").groupBy(*cells)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    cells = ["group", "pack"]
+    left = indexed.select("vec_id", "v", "leaf").mapInPandas(deal, "vec_id long, v array<double>, leaf long, group long, pack long")
+    right = indexed.where("asked").select("vec_id", "v").mapInPandas(walk, "query_id long, q array<double>, seen array<long>, group long").withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)))
+    found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
