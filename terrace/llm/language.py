@@ -161,9 +161,13 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn(docs: DataFrame) -> Model:
     """The model, from rows with a language whose hash doesn't hold them out; a null or letterless text teaches nothing."""
     rows = only(docs, "doc_id", "text", "lang")
-    # The short rank key keeps texts out of the sort: ids first, then their texts.
+    # Ids first, then their texts.  A language's rows below a hash bound that leaves about twice the rows wanted are
+    # ranked, so that no task meets a whole language.
     key = F.xxhash64("doc_id")
-    ranked = rows.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out()).withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy(key, "doc_id")))
+    labelled = rows.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
+    share = labelled.groupBy("lang").agg((2.0 * ROWS_PER_LANGUAGE / F.count("*")).alias("_share"))
+    low = labelled.join(F.broadcast(share), "lang").where(F.pmod(key, F.lit(1_000_003)) < F.col("_share") * 1_000_003)
+    ranked = low.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy(key, "doc_id")))
     chosen = ranked.where(F.col("_rank") <= ROWS_PER_LANGUAGE).select(F.col("doc_id").alias("_id")).distinct()
     train = rows.where(F.col("lang").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("lang", "text")
     counts = train.mapInPandas(_grams, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
