@@ -11,16 +11,17 @@ them: ``part, seq, doc_ids, counts, control, data``.  Parts follow each other in
 ascending document id, and so do blocks in a part and documents in a block; each
 document starts a new control byte.  The table ``ranks`` beside it maps ranks to ids.
 
-Two passes read the texts: one counts ids, one encodes.  The second ships encoded
-documents, not texts, to the part that their id belongs to.
+Texts are encoded once, into a table of ids and counts; what is shuffled to the part
+that a document's id belongs to is its coded form.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import compress, repeat
+from operator import is_
 from zlib import crc32
 
 import numpy as np
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.llm.bpe import CACHE_WORDS, _simple_chars, default_tokenizer
-from terrace.llm.common import only, scratch, shuffle_partitions, table
+from terrace.llm.common import materialise, only, scratch, shuffle_partitions, table
 
 #: The id that ends each document.
 END = 2
 #: Data bytes in a block, about.
 BLOCK_BYTES = 1 << 20
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: The four lengths that each control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -44,9 +46,11 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 class LibraryIds:
     """Ids of whole texts by the ``tokenizers`` library.
 
-    Its splitter cuts a text into words whose ids don't depend on each other, so a
-    word is given to the library once and remembered.  Texts with characters
-    outside the quick path's, or with special tokens, go to it whole.
+    Its splitter cuts a text at white space and further into words, whose ids don't
+    depend on each other.  What stands between white space is looked up as a whole; of
+    what hasn't been met yet the library gets the new words, one after the other with a
+    blank between, and what it gives is remembered.  Texts with characters outside the
+    quick path's, or with special tokens, go to it whole.
     """
 
     def __init__(self, path: str):
@@ -56,51 +60,62 @@ class LibraryIds:
         self.library.no_truncation()
         self.library.no_padding()
         simple, letters = _simple_chars()
-        self.letters = letters
-        self.odd = re.compile(f"[^{simple}]|" + "|".join(map(re.escape, (t.content for t in self.library.get_added_tokens_decoder().values()))))
+        self.odd = re.compile(f"[^{simple}]").search
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         numbers = "".join(re.escape(chr(c)) for c in range(0x250) if chr(c).isnumeric() and not chr(c).isalpha())
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\x09-\\x0d\\x20\\x85\\xa0{letters}{numbers}]+").findall
+        #: Ids by word, and by what stands between white space, as bytes: those met of late, and those met before them.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = [*words]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if self.odd.search(text):
-                yield self.whole(text)
-                continue
-            words = self.words(text.lower())
-            try:
-                ids = b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                ids = b"".join(map(self.known.__getitem__, words))
-            yield np.frombuffer(ids, "<u4")
-
-    def count(self, texts: list[str], size: int) -> np.ndarray:
-        """How often each id occurs in the texts."""
-        words, total = Counter(), np.zeros(size, np.int64)
-        for text in texts:
-            if self.odd.search(text):
-                np.add.at(total, self.whole(text), 1)
-            else:
-                words.update(self.words(text.lower()))
-        self.learn(set(words))
-        if words:
-            ids = [np.frombuffer(self.known[w], "<u4") for w in words]
-            np.add.at(total, np.concatenate(ids), np.repeat([*words.values()], [*map(len, ids)]))
-        return total
+    def is_odd(self, text: str) -> bool:
+        """Whether the quick path doesn't hold: Python splits at the separators 0x1C to 0x1F, the library doesn't."""
+        return not text.isascii() and self.odd(text) is not None or any(c in text for c in SEPARATORS) or "<|" in text and any(x in text for x in self.special)
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are not remembered; those from before are as good as new again."""
+        out = []
+        for k in keys:
+            if k not in self.known:
+                if (ids := self.before.get(k)) is None:
+                    out.append(k)
+                else:
+                    self.known[k] = ids
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make every piece known; when memory is full, what wasn't asked for since the last time goes."""
+        if len(self.known) + len(pieces) > CACHE_WORDS:
+            self.before, self.known = self.known, {}
+        split = [(p, self.words(p)) for p in self.missing(pieces)]
+        new = self.missing({w for _, words in split for w in words})
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            stops = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), side="right").tolist()
+            start = 0
+            for w, stop in zip(part, stops):
+                self.known[w] = ids[start:stop].tobytes()
+                start = stop
+        for p, words in split:
+            if len(words) > 1:
+                self.known[p] = b"".join([self.known[w] for w in words])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; give some hundred texts at a time."""
+        split = [None if self.is_odd(t) else t.lower().split() for t in texts]
+        found = [[] if w is None else [*map(self.known.get, w)] for w in split]
+        new = [(w, f) for w, f in zip(split, found) if None in f]
+        if new:
+            self.learn({k for w, f in new for k in compress(w, map(is_, f, repeat(None)))})
+            known = self.known
+            for w, f in new:
+                f[:] = [known[k] if x is None else x for k, x in zip(w, f)]
+        return [self.whole(t) if w is None else np.frombuffer(b"".join(f), "<u4") for t, w, f in zip(texts, split, found)]
 
 
 @cache
@@ -110,13 +125,16 @@ def library(path: str) -> LibraryIds:
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of some ranks."""
-    r = ranks.astype("<u4")
-    size = 1 + (r > 0xFF) + (r > 0xFFFF).astype(int) + (r > 0xFFFFFF)
+    width = 4 if len(ranks) and ranks.max() > 0xFFFF else 2
+    r = ranks.astype(f"<u{width}")
+    keep = np.ones((len(r), width), bool)
+    for k in range(1, width):
+        np.greater_equal(r, 1 << 8 * k, out=keep[:, k])
     codes = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    codes[: len(r)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.tobytes(), data.tobytes()
+    codes[: len(r)] = keep[:, 1] if width == 2 else keep.sum(1, dtype=np.uint8) - 1
+    four = codes.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    return control.tobytes(), r.view(np.uint8)[keep.ravel()].tobytes()
 
 
 def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
@@ -134,21 +152,30 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequencies(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """``id, n``: how often the encoded corpus holds each id that occurs, each document's end included."""
+def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, ids`` of every row, the ids as bytes and the end included; and ``id, n``, how often each id occurs.
+
+    The texts are encoded once: both come from one table in the shared folder, into
+    which each task puts its documents and, last, its counts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = library(tokenizer)
-        total = np.zeros(max(end + 1, e.library.get_vocab_size()), np.int64)
+        size = max(end + 1, e.library.get_vocab_size())
+        kind, total = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64)
         for pdf in batches:
-            texts = [t for t in pdf["text"] if isinstance(t, str)]
-            for i in range(0, len(texts), 500):
-                total += e.count(texts[i : i + 500], len(total))
-            total[end] += len(pdf)
-        ids = np.flatnonzero(total)
-        yield pd.DataFrame({"id": ids, "n": total[ids]})
+            for i in range(0, len(pdf), 500):
+                part = pdf.iloc[i : i + 500]
+                ids = [np.append(x, np.uint32(end)) for x in e.encode([t if isinstance(t, str) else "" for t in part["text"]])]
+                total += np.bincount(np.concatenate(ids), minlength=size)
+                yield pd.DataFrame({"doc_id": part["doc_id"].values, "ids": [x.astype(kind).tobytes() for x in ids], "counted": None, "counts": None})
+        met = np.flatnonzero(total)
+        yield pd.DataFrame({"doc_id": [None], "ids": [None], "counted": [met], "counts": [total[met]]})
 
-    return only(docs, "text").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("ids binary, counted array<long>, counts array<long>").fields])
+    both = materialise(only(docs, "doc_id", "text").mapInPandas(run, schema), "token-ids")
+    pairs = both.where("counted is not null").select(F.explode(F.arrays_zip("counted", "counts")).alias("p"))
+    return both.where("ids is not null").select("doc_id", "ids"), pairs.groupBy(F.col("p.counted").alias("id")).agg(F.sum("p.counts").alias("n"))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
@@ -158,23 +185,24 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     what they hold; rows without an id come first.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
+    stored, counted = encoded(docs, tokenizer, end)
     # At most as many rows as the vocabulary has ids.
-    ranked = frequencies(docs, tokenizer, end).orderBy(F.desc("n"), "id").toPandas()
+    ranked = counted.orderBy(F.desc("n"), "id").toPandas()
     ids = ranked["id"].to_numpy(np.int64)
     spark.createDataFrame(ranked.assign(rank=np.arange(len(ranked))), "id long, n long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else end + 1, np.uint32)
     rank[ids] = np.arange(len(ids))
-    held = spark.sparkContext.broadcast(rank)
+    held, wide = spark.sparkContext.broadcast(rank), "<u2" if max(end + 1, library(tokenizer).library.get_vocab_size()) <= 1 << 16 else "<u4"
     parts = shuffle_partitions(spark)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []
+    cuts = stored.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []
     edges = np.unique(np.array(cuts, np.int64))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e, r = library(tokenizer), held.value
+    def rank_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = held.value
         for pdf in batches:
             part = np.where(pdf["doc_id"].isna(), 0, np.searchsorted(edges, pdf["doc_id"].fillna(0).astype("int64"), side="right"))
-            rows = [(len(ids) + 1, *pack(r[np.append(ids, end)])) for ids in e.encode([t if isinstance(t, str) else "" for t in pdf["text"]])]
-            out = pd.DataFrame(rows, columns=["n", "control", "data"])
+            ids = [np.frombuffer(x, wide) for x in pdf["ids"]]
+            out = pd.DataFrame([(len(x), *pack(r[x])) for x in ids], columns=["n", "control", "data"])
             out.insert(0, "doc_id", pdf["doc_id"].values)
             yield out.assign(part=part)
 
@@ -197,9 +225,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         if held_rows:
             yield block()
 
-    encoded = only(docs, "doc_id", "text").mapInPandas(encode, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n int, control binary, data binary, part int").fields]))
-    placed = encoded.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "data")
-    placed.mapInPandas(blocks, "part int, seq int, doc_ids array<long>, counts array<int>, control binary, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    coded = stored.mapInPandas(rank_all, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n int, control binary, data binary, part int").fields]))
+    placed = coded.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "data")
+    placed.mapInPandas(blocks, "part int, seq int, doc_ids array<long>, counts array<int>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
