@@ -69,9 +69,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def masks(count: int, radius: int = RADIUS) -> list[int]:
     """Bit masks, one of which any two of ``count`` fingerprints within ``radius`` agree on.
 
-    The smallest number of blocks whose shards hold about ``SHARD`` of them at most.
+    The smallest number of blocks whose shards hold about ``SHARD`` of them at most, from two that must agree.
     """
-    for blocks in range(radius + 1, 65):
+    for blocks in range(radius + 2, 65):
         kept = 64 * (blocks - radius) // blocks
         if count / 2**kept <= SHARD or comb(blocks, radius) > 100:
             break
