@@ -31,18 +31,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.llm.bpe import CACHE_WORDS, _simple_chars, default_tokenizer
+from terrace.llm.bpe import _simple_chars, default_tokenizer
 from terrace.llm.common import materialise, only, scratch, shuffle_partitions, table
 
 #: The id that ends each document.
 END = 2
 #: Data bytes in a block, about.
 BLOCK_BYTES = 1 << 20
+#: Words and pieces of text whose ids an executor process remembers, at most twice over.
+CACHE_WORDS = 750_000
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: The four lengths that each control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class LibraryIds:
     """Ids of whole texts by the ``tokenizers`` library.
 
@@ -73,7 +83,7 @@ class LibraryIds:
 
     def is_odd(self, text: str) -> bool:
         """Whether the quick path doesn't hold: Python splits at the separators 0x1C to 0x1F, the library doesn't."""
-        return not text.isascii() and self.odd(text) is not None or any(c in text for c in SEPARATORS) or "<|" in text and any(x in text for x in self.special)
+        return not is_latin(text) and self.odd(text) is not None or any(c in text for c in SEPARATORS) or "<|" in text and any(x in text for x in self.special)
 
     def missing(self, keys: set[str]) -> list[str]:
         """The keys that are not remembered; those from before are as good as new again."""
