@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, linked through BK-trees.
+"""SimHash near-duplicates, linked through BK-trees (op2), and the pipeline's near-duplicate stage, which compares shingles themselves (``copies``).
 
 A document's fingerprint has a bit set where over half of its shingles' hashes
 have it.  Equal fingerprints are one from here on.  Two that differ in at most
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.llm.common import materialise, only, table
+from terrace.llm.copies import groups
 from terrace.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -168,7 +169,7 @@ def link(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     return dealt.repartition("mask", "key", "cell").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for each row.
 
     The component is the smallest id reachable over links.  Texts without words
@@ -188,10 +189,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_fingerprints(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` for each row, by the similarity of five-word shingles (``copies``).
+
+    The component is the smallest id reachable over near copies; a row without an
+    id has the component that its text leads to.  Texts without words are one group.
+    """
+    numbered = materialise(only(docs, "doc_id", "text").withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    grouped = groups(numbered.select(F.col("_n").alias("row"), "text"))
+    placed = materialise(numbered.select("_n", "doc_id").join(grouped, F.col("_n") == F.col("row")).select("doc_id", "group"), "placed")
+    least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "group").select("doc_id", "component_id")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id, and of repeated rows of it the first.  Rows without an id stay."""
     from pyspark.sql import Window as W
