@@ -122,17 +122,25 @@ def calibrate(tree: Tree, vs: np.ndarray, k: int, seed: int = 0) -> int:
     return visits
 
 
-def _matrix(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Usable rows and their vectors in double precision: not null or zero, all components finite and as many as the first's."""
+def _matrix(column: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Usable rows and their vectors in double precision: ``width`` components, all finite and not all zero."""
     keep, rows = [], []
     for i, v in enumerate(column):
-        if v is None or len(v) == 0 or any(x is None for x in v):
+        if v is None or len(v) != width or any(x is None for x in v):
             continue
         a = np.asarray(v, np.float64)
-        if np.isfinite(a).all() and a.any() and (not rows or len(a) == len(rows[0])):
+        if np.isfinite(a).all() and a.any():
             keep.append(i)
             rows.append(a)
-    return np.array(keep, int), np.array(rows) if rows else np.zeros((0, 1))
+    return np.array(keep, int), np.array(rows) if rows else np.zeros((0, width))
+
+
+def _width(rows: DataFrame) -> int | None:
+    """The commonest length of the usable vectors, of equally common ones the greatest; None without any."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = rows.where(finite & F.exists("v", lambda x: x != 0))
+    found = usable.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    return found and found["width"]
 
 
 def _unit(vs: np.ndarray) -> np.ndarray:
@@ -144,26 +152,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score`` from ``vec_id, embedding``: for each query row the nearest other rows found, by cosine.
 
     Rows without an id, and vectors that are null, zero, or hold null or non-finite
-    components, take no part; rows with the query's id count as its own.  Fewer than
-    ``k`` come back only where there are fewer; equal scores go by smaller id; an
-    empty table gives an empty one.
+    components, take no part, nor do vectors of another length than most usable ones
+    have (of equally common lengths, the greatest); rows with the query's id count as
+    its own.  Fewer than ``k`` come back only where there are fewer; equal scores go
+    by smaller id; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where("vec_id is not null")
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width = _width(rows)
+    if width is None:
+        return none
+    rows = rows.where(F.size("v") == width)
     taken = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas().sort_values("vec_id")
-    _, sample = _matrix(taken["v"])
+    _, sample = _matrix(taken["v"], width)
     if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     unit = _unit(sample)
     tree = fit(unit)
     visits = calibrate(tree, unit, k)
-    width = sample.shape[1]
     held = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep, vs = _matrix(pdf["v"])
-            if len(keep) and vs.shape[1] == width:
+            keep, vs = _matrix(pdf["v"], width)
+            if len(keep):
                 yield pdf.iloc[keep].assign(leaf=held.value.descend(_unit(vs)))
 
     indexed = materialise(rows.mapInPandas(place, "vec_id long, v array<double>, asked boolean, leaf long"), "indexed")

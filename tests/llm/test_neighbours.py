@@ -39,3 +39,13 @@ def test_many_equal_vectors(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(300)], "vec_id long, embedding array<float>")
     got = neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] + [0, 1, 2, 3, 4] * 2
+
+
+def test_rows_of_another_length(spark):
+    """They take no part, wherever in a batch or the sample they come."""
+    rng = np.random.default_rng(0)
+    good = [(i, rng.normal(size=4).tolist()) for i in range(10, 60)]
+    odd = [(0, [1.0, 2.0]), (1, [float("nan")] * 4), (5, [1.0] * 7), (70, [3.0, 1.0]), *((i, [0.0] * 3) for i in range(100, 200))]
+    search = lambda rows: sorted(map(tuple, neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 5 == 0).collect()))
+    want = search(good)
+    assert len(want) == 50 and search(odd + good) == search(good[:20] + odd + good[20:]) == want
