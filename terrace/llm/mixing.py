@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WORD, materialise, only, table
+from terrace.llm.common import WORD, materialise, table
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -39,10 +39,11 @@ GOLDEN, CIRCLE = 1327217885, 1 << 31
 CELLS = 4096
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``: words of the whole text, 0 for a null text."""
-    return only(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``row, doc_id, source, size``: the row's number (column ``row``, else as it is read) and the words of the whole text, 0 for a null text."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(number.alias("row"), *[F.col(f"`{n}`") for n in ("doc_id", "source", "text")]).select(
+        "row", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
 
 
@@ -127,14 +128,16 @@ def schedule(goals: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     return used.unionByName(rest)
 
 
-def prepare(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def prepare(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Sized rows, sources with their targets, and the number of slots.
 
-    The table of sources is as long as there are sources; it is broadcast where
+    Rows of one id are its copies, numbered by source and size; rows without an id
+    go by their own number, so that they don't meet in one task.  The table of sources is as long as there are sources; it is broadcast where
     rows meet it.
     """
-    copy = F.row_number().over(W.partitionBy("doc_id").orderBy("source", "size"))
-    sized = materialise(sizes(docs).withColumn("copy", copy), "mix-sizes")
+    lone = F.when(F.col("doc_id").isNull(), F.col("row"))
+    copy = F.coalesce(lone, F.row_number().over(W.partitionBy("doc_id", lone).orderBy("source", "size")))
+    sized = materialise(sizes(docs, row).withColumn("copy", copy), "mix-sizes")
     numbered = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     goals = materialise(targets(sized).withColumn("words_wanted", F.floor("target").cast("long")).withColumn("source_no", numbered), "mix-targets")
     slots = goals.agg(F.sum(F.ceil(F.col("words_wanted") / BLOCK))).first()[0] or 0
@@ -147,16 +150,16 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     return schedule(goals, slots).join(pieces(sized, goals, seed), ["source_no", "block"])
 
 
-def taken(docs: DataFrame, seed: int = 0) -> DataFrame:
+def taken(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
     """What the mix takes of each document.
 
-    Columns: doc_id, source, size, source_size, target, taken.  Null texts and
+    Columns: row (the column named so, else a number), doc_id, source, size, source_size, target, taken.  Null texts and
     texts without words have size 0 and nothing taken; a null source is a source
     of its own, the last; of repeated rows each is a document; an empty table
     gives an empty one.  Reruns agree, as every order is that of a hash of the
-    document's id.
+    document's id; that of rows without an id is that of their numbers.
     """
-    sized, goals, slots = prepare(docs)
+    sized, goals, slots = prepare(docs, row)
     got = (
         schedule(goals, slots).join(pieces(sized, goals, seed), ["source_no", "block"])
         .groupBy("doc_id", "copy").agg(F.sum("words").alias("taken")).withColumnsRenamed({"doc_id": "_id", "copy": "_copy"})
@@ -165,7 +168,7 @@ def taken(docs: DataFrame, seed: int = 0) -> DataFrame:
     return (
         sized.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_s")))
         .join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left")
-        .select("doc_id", "source", "copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("row", "doc_id", "source", "copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
 
@@ -175,16 +178,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them: once or twice where it takes any of their words, else not at all."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    times = (
-        taken(docs).where("taken > 0")
-        .groupBy(key.alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("copy", F.ceil(F.col("taken") / F.col("size")).cast("int")))).alias("_times"))
-    )
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    times = taken(numbered, row="_row").where("taken > 0").select(F.col("row").alias("_taken"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     return (
-        docs.withColumn("_own", key).withColumn("_size", words)
-        .withColumn("_copy", F.row_number().over(W.partitionBy("_own").orderBy("source", "_size")))
-        .join(times, F.col("_own") == F.col("_key"))
-        .withColumn("_reading", F.explode(F.array_repeat(F.lit(True), F.coalesce(F.try_element_at("_times", F.col("_copy")), F.lit(0)))))
+        numbered.join(times, F.col("_row") == F.col("_taken"))
+        .withColumn("_reading", F.explode(F.array_repeat(F.lit(True), F.col("_times"))))
         .select(*docs.columns)
     )

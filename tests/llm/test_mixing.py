@@ -69,3 +69,21 @@ def test_schedule_interleaves(spark, sf_dir):
 def test_stays_in_the_jvm(spark, sf_dir):
     plan = mixing.taken(documents(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_stage_repeats_rows_without_a_key_of_their_own(spark):
+    """Many rows without an id beside the least id, and repeats of one id: each comes as often as its words are taken, without maps of rows."""
+    ids = [None] * 60 + [-(1 << 63)] + [7] * 40 + list(range(100, 140))
+    docs = spark.createDataFrame([(i, f"t{n} " * (50 + n), "abc"[n % 3]) for n, i in enumerate(ids)], "doc_id long, text string, source string")
+    out = mixing.stage(spark, docs, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "map_from_entries" not in plan
+    size = {s: sum(50 + n for n in range(len(ids)) if n % 3 == i) for i, s in enumerate("abc")}
+    goal, got = waterfill(size), {}
+    for r in out.collect():
+        got.setdefault((r.doc_id, r.text), []).append(r.source)
+    assert max(map(len, got.values())) == 2 and len({k for k in got if k[0] is None}) > 20
+    times = mixing.taken(docs).where("taken > 0").selectExpr("sum(ceil(taken / size))").first()[0]
+    assert abs(sum(map(len, got.values())) - times) <= 6
+    for s in "abc":
+        assert sum(len(t.split()) * len(v) for (_, t), v in got.items() if v[0] == s) >= goal[s] - 1
