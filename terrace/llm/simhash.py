@@ -207,9 +207,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id, and of repeated rows of it the first.  Rows without an id stay."""
-    from pyspark.sql import Window as W
-
-    first = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    numbered = docs.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])))
-    return numbered.where("_n = 1 and doc_id is not null").join(first, F.col("doc_id") == F.col("_id"), "left_semi").drop("_n").unionByName(docs.where("doc_id is null"))
+    """One row of each group: the one with the smallest id, rows without an id after all others, and of repeated ids the first as read."""
+    numbered = materialise(docs.withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    grouped = groups(numbered.select(F.col("_n").alias("row"), "text"))
+    ids = numbered.select("_n", F.col("doc_id").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("lacks"), "_id", "row"))["row"]
+    kept = materialise(grouped.join(ids, F.col("row") == F.col("_n")).groupBy("group").agg(first.alias("_kept")).select("_kept"), "kept")
+    return numbered.join(kept, F.col("_n") == F.col("_kept"), "left_semi").select(*docs.columns)

@@ -70,3 +70,11 @@ def test_fingerprint_edges(spark):
     by = dict((r.doc_id, r.component_id) for r in got.collect())
     assert got.count() == docs.count() and by[1] == by[2] == by[3] == 1 and by[6] == by[7] == 6
     assert simhash.near_fingerprints(docs.limit(0)).count() == 0
+
+
+def test_stage_takes_rows_not_ids(spark):
+    """An id's rows with unrelated texts stay, copies without an id go, and a copy doesn't stay for its id's other text."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (2, c), (None, c), (None, d), (None, d), (None, None), (3, "")], "doc_id long, text string")
+    kept = sorted(map(tuple, simhash.stage(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (2, c), (None, d), (3, "")], key=repr)
