@@ -33,6 +33,10 @@ ROWS_PER_LANGUAGE = 800
 WORDS, TRIGRAMS = 40_000, 120_000
 #: The cost of changing the language between two words, and the most that one word can speak for or against a language.
 SWITCH, CLIP = 9.0, 5.0
+#: What a word costs in a language that its script excludes: more than leaving the language and coming back.
+EXCLUDED = 2 * SWITCH + CLIP
+#: Letters of a word, at most; longer runs of letters are cut, and ``CUT`` and two letters of context stand at the cuts.
+PIECE, CUT = 40, "\0"
 #: The weight of whole-word frequency against spelling.
 WORD_WEIGHT = 0.7
 #: Words whose scores an executor process remembers.
@@ -49,9 +53,46 @@ SCRIPTS = [
 _STARTS = [s for s, _ in SCRIPTS]
 
 
+def _classes() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of one script, and what is not Latin."""
+    ranges: dict[str, str] = {}
+    for (a, name), b in zip(SCRIPTS, [*_STARTS[1:], 0x110000]):
+        ranges[name] = ranges.get(name, "") + f"\\U{a:08x}-\\U{b - 1:08x}"
+    return re.compile("|".join(f"[{r}]+" for r in ranges.values())), re.compile(f"[^{ranges['latin']}]")
+
+
+_RUNS, _NOT_LATIN = _classes()
+
+
 def script(word: str) -> str:
     """The script of a word's first letter."""
-    return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
+    return SCRIPTS[bisect_right(_STARTS, ord(word.lstrip(CUT)[0])) - 1][1]
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a text in lower case: runs of letters of one script, long ones in parts that together have all of their letters and trigrams."""
+    words = LETTERS.findall(text.lower())
+    if max(map(len, words), default=0) <= PIECE and not _NOT_LATIN.search("".join(words)):
+        return words
+    out = []
+    for w in words:
+        for run in [w] if w.isascii() else _RUNS.findall(w):
+            if len(run) <= PIECE:
+                out.append(run)
+                continue
+            for a in range(0, len(run), PIECE):
+                out.append((CUT + run[a - 2 : a] if a else "") + run[a : a + PIECE] + (CUT if a + PIECE < len(run) else ""))
+    return out
+
+
+def letters(piece: str) -> int:
+    """The letters of a piece that are its own."""
+    return len(piece) - 3 * piece.startswith(CUT) - piece.endswith(CUT)
+
+
+def padded(piece: str) -> str:
+    """A piece with the marks of a word's ends, where it has them."""
+    return ("" if piece[0] == CUT else "^") + piece.strip(CUT) + ("" if piece[-1] == CUT else "$")
 
 
 @dataclass
@@ -69,17 +110,17 @@ class Model:
     scores: np.ndarray | None = None
 
     def score(self, word: str) -> np.ndarray:
-        """One number for each language, 0 for the best candidate and at least ``-CLIP``."""
+        """One number for each language: 0 for the best candidate, at least ``-CLIP`` for others, and ``-EXCLUDED`` for those without the script."""
         candidates = self.scripts.get(script(word))
         if candidates is None:
             return np.zeros(len(self.languages), np.float32)
-        padded = f"^{word[:40]}$"
-        at = [self.trigrams.get(padded[i : i + 3], -1) for i in range(len(padded) - 2)]
+        whole = padded(word)
+        at = [self.trigrams.get(whole[i : i + 3], -1) for i in range(len(whole) - 2)]
         spelling = np.where(np.array(at)[:, None] >= 0, self.chain[at], self.unseen).sum(0)
         known = self.words.get(word)
         total = spelling if known is None else np.logaddexp(known + np.log(WORD_WEIGHT), spelling + np.log(1 - WORD_WEIGHT))
         total = np.where(candidates, total, -np.inf)
-        return np.maximum(total - total.max(), -CLIP).astype(np.float32)
+        return np.where(candidates, np.maximum(total - total.max(), -CLIP), -EXCLUDED).astype(np.float32)
 
     def row(self, word: str) -> int:
         if self.scores is None or len(self.rows) >= CACHE_WORDS:
@@ -136,8 +177,8 @@ def _viterbi(s: np.ndarray, switch: float) -> np.ndarray:
 
 
 def label(model: Model, text: str | None) -> tuple[list[str], np.ndarray]:
-    """The words of a text and the language number of each."""
-    words = LETTERS.findall(text.lower()) if text else []
+    """The words (``pieces``) of a text and the language number of each."""
+    words = pieces(text) if text else []
     return words, viterbi(model.emissions(words)) if words and model.languages else np.zeros(0, int)
 
 
@@ -146,14 +187,14 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         counts: dict[tuple[str, str], Counter] = {}
         for lang, text in zip(pdf["lang"], pdf["text"]):
-            words = Counter(LETTERS.findall(text.lower())) if text else Counter()
-            counts.setdefault((lang, "word"), Counter()).update(words)
+            words = Counter(pieces(text)) if text else Counter()
+            counts.setdefault((lang, "word"), Counter()).update({w: n for w, n in words.items() if CUT not in w})
             grams, scripts = counts.setdefault((lang, "gram"), Counter()), counts.setdefault((lang, "script"), Counter())
             for w, n in words.items():
-                padded = f"^{w[:40]}$"
-                for i in range(len(padded) - 2):
-                    grams[padded[i : i + 3]] += n
-                scripts[script(w)] += n * len(w)
+                whole = padded(w)
+                for i in range(len(whole) - 2):
+                    grams[whole[i : i + 3]] += n
+                scripts[script(w)] += n * letters(w)
         rows = [(lang, kind, k, n) for (lang, kind), c in counts.items() for k, n in c.items()]
         yield pd.DataFrame(rows, columns=["lang", "kind", "item", "n"])
 
@@ -189,8 +230,8 @@ def build(scripts: list, words: list, grams: list) -> Model:
         return out
 
     by_script = matrix(scripts)
-    letters = by_script.sum(0) if L else np.zeros(0)
-    candidates = {r["item"]: by_script[i] > 0.01 * letters for i, r in enumerate(scripts)}
+    total = by_script.sum(0) if L else np.zeros(0)
+    candidates = {r["item"]: by_script[i] > 0.01 * total for i, r in enumerate(scripts)}
     candidates = {k: v for k, v in candidates.items() if v.any()}
     w = matrix(words)
     with np.errstate(divide="ignore"):
@@ -203,7 +244,7 @@ def build(scripts: list, words: list, grams: list) -> Model:
     base = np.array([heads[r["item"][:2]] for r in grams]).reshape(len(grams), L)
     chain = np.log((g + 0.05) / (base + 0.05 * alphabet))
     unseen = np.full(L, np.log(1 / (20 * alphabet)))
-    default = languages[int(letters.argmax())] if L else "und"
+    default = languages[int(total.argmax())] if L else "und"
     return Model(languages, default, candidates, {r["item"]: logs[i] for i, r in enumerate(words)}, {r["item"]: i for i, r in enumerate(grams)}, np.vstack([chain, unseen]) if L else chain, unseen)
 
 
@@ -230,7 +271,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 if not len(labels):
                     out.append(("und", 0.0, 0))
                     continue
-                known = np.array([len(w) for w in words], float)
+                known = np.array([letters(w) for w in words], float)
                 if len(m.scripts) < len(SCRIPTS) and not any(script(w) in m.scripts for w in (words[:50] if len(words) < 50 else words)):
                     out.append((m.default, 0.0, 0))
                     continue

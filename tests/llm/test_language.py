@@ -47,3 +47,21 @@ def test_edges(spark):
     none = language.learn(docs.limit(0))
     assert none.languages == [] and {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
     assert language.predict(docs.limit(0), model).count() == 0
+
+
+def test_long_runs_of_another_script(spark):
+    """Text without blanks counts whole, by its script, and wherever in a run it stands."""
+    han = "".join(chr(0x4E00 + i * 37 % 900) for i in range(3000))
+    rows = [(4 * i, "the cat sat on the mat and saw a dog", "en") for i in range(20)] + [(4 * i + 1, han[i * 50 : i * 50 + 900], "zh") for i in range(20)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = {1: f"the cat {han} saw a dog", 2: f"thecat{han}", 3: "the cat sat on 漢 the mat and saw a dog"}
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["zh", "zh", "en"] and got[1].n_spans == 3 and got[1].score == 3000 / 3013 and got[2].score == 3000 / 3006
+
+
+def test_pieces_hold_all_letters_and_trigrams():
+    for word in ("a" * 39 + "bcdefg" * 30, "漢字" * 41, "x" * 40, "ab", "漢" * 81):
+        parts = language.pieces(word)
+        grams = lambda p: [p[i : i + 3] for i in range(len(p) - 2)]
+        assert sum(map(language.letters, parts)) == len(word) and [g for p in parts for g in grams(language.padded(p))] == grams(f"^{word}$")
+    assert language.pieces("Abcかな漢字x") == ["abc", "かな", "漢字", "x"]
