@@ -6,8 +6,8 @@ the fragments between cuts are encoded on their own and their ids concatenated,
 which gives what encoding the word as a whole gives.
 
 ``encode`` and ``decode`` are narrow: texts stay in their partitions and nothing
-is shuffled.  Every executor process keeps the ids of the words it has met, up to
-``CACHE_WORDS`` of them.
+is shuffled.  Every executor process keeps the ids of the words it has met of late
+(``CACHE_WORDS``).  A text is encoded whole in one task, whatever its length.
 """
 
 from __future__ import annotations
@@ -16,19 +16,17 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from terrace.llm.common import only, table
+from terrace.llm.common import per_text, table
 
-#: Words whose ids an executor process remembers; a full memory starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids an executor process remembers, at most twice over: when so many are new, those not met since the last time go.
+CACHE_WORDS = 120_000
 #: Fragments longer than this are merged with a heap.
 SHORT = 48
 
@@ -57,16 +55,19 @@ def _simple_chars() -> tuple[str, str]:
 
 
 class Known(dict):
-    """The ids of words, computed when first asked for; a full memory starts anew."""
+    """The ids of words, computed when first asked for: those met of late, and in ``before`` those met before them."""
 
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.before = compute, {}
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.compute(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.compute(word)
         if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.before = self.copy()
+                self.clear()
             self[word] = ids
         return ids
 
@@ -197,48 +198,42 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``doc_id, ids array<int>`` for each row; a null text counts as empty and has no ids."""
     path = tokenizer or default_tokenizer()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> list:
         e = encoder(path)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [e.encode(t) if isinstance(t, str) else [] for t in pdf["text"]]})
+        return [[e.encode(t or "") for t in texts]]
 
-    return only(docs, "doc_id", "text").mapInPandas(run, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return per_text(docs, ["doc_id"], run, "ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``doc_id, text`` for each row of ``encode``'s form; null ids count as none."""
     path = tokenizer or default_tokenizer()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(lists: list[list[int] | None]) -> list:
         e = encoder(path)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [e.decode([] if i is None else i.tolist()) for i in pdf["ids"]]})
+        return [[e.decode(ids or []) for ids in lists]]
 
-    return only(encoded, "doc_id", "ids").mapInPandas(run, T.StructType([encoded.schema["doc_id"], T.StructField("text", T.StringType())]))
+    return per_text(encoded.select("doc_id", F.col("ids").alias("text")), ["doc_id"], run, "decoded string").withColumnRenamed("decoded", "text")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Digests of what ``encode`` and then ``decode`` give, in one pass over the texts.
 
     Columns: doc_id, n_tokens, ids_sha256, decoded_sha256.  A null or empty text
-    has no tokens and the digests of the empty string; repeated rows stay; an
-    empty table gives an empty one; other columns are ignored.
+    has no tokens and the digests of the empty string; a very long text is one
+    text like others; repeated rows and rows without an id stay; an empty table
+    gives an empty one; other columns are ignored.
     """
     path = tokenizer or default_tokenizer()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
-        for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                ids = e.encode(t) if isinstance(t, str) else []
-                rows.append((len(ids), sha256(" ".join(map(e.decimal.__getitem__, ids)).encode()).hexdigest(), sha256(e.decode(ids).encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
-
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return only(docs, "doc_id", "text").mapInPandas(run, schema)
+    def run(texts: list[str | None]) -> list:
+        e, rows = encoder(path), []
+        for t in texts:
+            ids = e.encode(t) if t else []
+            rows.append((len(ids), sha256(" ".join(map(e.decimal.__getitem__, ids)).encode()).hexdigest(), sha256(e.decode(ids).encode()).hexdigest()))
+        return [*zip(*rows)] or [[], [], []]
+
+    return per_text(docs, ["doc_id"], run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, wherever an operator counts or compares words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,14 +21,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where the session has
-    none (a single-machine test) a temporary folder is made and set.
+    ``spark.checkpoint.dir`` names it.  Only a session on a single machine may lack
+    it, as in tests; it then has a temporary folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="terrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+    return _folder()
+
+
+@cache
+def _folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-terrace-")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -53,3 +66,44 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns of the input can't clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def plain(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns renamed to ``_0``, ``_1`` and so on, and what the named ones are called then; ``restored`` undoes it."""
+    return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))]), [f"_{docs.columns.index(n)}" for n in names]
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from a frame that descends from ``plain(docs)``."""
+    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def arrow_type(name: str) -> pa.DataType:
+    return pa.list_(arrow_type(name[6:-1])) if name.startswith("array<") else ARROW[name]
+
+
+def columns(shape: str) -> list[tuple[str, str]]:
+    """Names and types of ``a long, b string`` and the like."""
+    return [tuple(c.split()) for c in shape.split(", ")]
+
+
+def per_text(docs: DataFrame, kept: Sequence[str], compute: Callable[[list[str | None]], Sequence[Any]], shape: str) -> DataFrame:
+    """The ``kept`` columns of ``docs`` and, in ``shape``, the columns that ``compute`` gives for a list of texts.
+
+    Texts alone are turned into Python objects: ids and other kept columns go
+    through as they are, with nulls and all their digits.
+    """
+    made = columns(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = compute(b.column(b.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[: len(kept)], *(v if isinstance(v, pa.Array) else pa.array(v, arrow_type(t)) for v, (_, t) in zip(found, made))], names=[*kept, *(n for n, _ in made)]
+            )
+
+    schema = T.StructType([*(docs.schema[k] for k in kept), *T.StructType.fromDDL(shape).fields])
+    return only(docs, *kept, "text").mapInArrow(run, schema)

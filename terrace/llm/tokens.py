@@ -18,6 +18,7 @@ that a document's id belongs to is its coded form.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import compress, repeat
@@ -25,19 +26,21 @@ from operator import is_
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.llm.bpe import _simple_chars, default_tokenizer
-from terrace.llm.common import materialise, only, scratch, shuffle_partitions, table
+from terrace.llm.bpe import _simple_chars, byte_symbols, default_tokenizer
+from terrace.llm.common import arrow_type, columns, materialise, only, scratch, shuffle_partitions, table
 
 #: The id that ends each document.
 END = 2
-#: Data bytes in a block, about.
-BLOCK_BYTES = 1 << 20
+#: Data bytes in a block, about, and characters of text that are encoded together.
+BLOCK_BYTES, PART = 1 << 20, 4 << 20
+#: A row of the table of blocks.
+BLOCK = "part int, seq int, doc_ids array<long>, counts array<int>, control binary, data binary"
 #: Words and pieces of text whose ids an executor process remembers, at most twice over.
 CACHE_WORDS = 750_000
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -58,8 +61,8 @@ class LibraryIds:
 
     Its splitter cuts a text at white space and further into words, whose ids don't
     depend on each other.  What stands between white space is looked up as a whole; of
-    what hasn't been met yet the library gets the new words, one after the other with a
-    blank between, and what it gives is remembered.  Texts with characters outside the
+    what hasn't been met yet the library's model gets the new words, and what it gives
+    is remembered.  Texts with characters outside the
     quick path's, or with special tokens, go to it whole.
     """
 
@@ -74,6 +77,7 @@ class LibraryIds:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         numbers = "".join(re.escape(chr(c)) for c in range(0x250) if chr(c).isnumeric() and not chr(c).isalpha())
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\x09-\\x0d\\x20\\x85\\xa0{letters}{numbers}]+").findall
+        self.symbols = dict(enumerate(byte_symbols()))
         #: Ids by word, and by what stands between white space, as bytes: those met of late, and those met before them.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -100,32 +104,44 @@ class LibraryIds:
         """Make every piece known; when memory is full, what wasn't asked for since the last time goes."""
         if len(self.known) + len(pieces) > CACHE_WORDS:
             self.before, self.known = self.known, {}
-        split = [(p, self.words(p)) for p in self.missing(pieces)]
-        new = self.missing({w for _, words in split for w in words})
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            e = self.library.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            stops = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), side="right").tolist()
-            start = 0
-            for w, stop in zip(part, stops):
-                self.known[w] = ids[start:stop].tobytes()
-                start = stop
+        split = [(p, [p] if p.isalpha() else self.words(p)) for p in self.missing(pieces)]
+        tokenize, symbols = self.library.model.tokenize, self.symbols
+        for w in self.missing({w for _, words in split for w in words}):
+            self.known[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))]).tobytes()
         for p, words in split:
             if len(words) > 1:
                 self.known[p] = b"".join([self.known[w] for w in words])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; give some hundred texts at a time."""
-        split = [None if self.is_odd(t) else t.lower().split() for t in texts]
-        found = [[] if w is None else [*map(self.known.get, w)] for w in split]
-        new = [(w, f) for w, f in zip(split, found) if None in f]
-        if new:
-            self.learn({k for w, f in new for k in compress(w, map(is_, f, repeat(None)))})
-            known = self.known
-            for w, f in new:
-                f[:] = [known[k] if x is None else x for k, x in zip(w, f)]
-        return [self.whole(t) if w is None else np.frombuffer(b"".join(f), "<u4") for t, w, f in zip(texts, split, found)]
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after the other, ``end`` after each, and how many each has; give about ``PART`` characters at a time.
+
+        Each different piece is looked up once; its ids are then copied to the places where it stands.
+        """
+        pieces: list[str] = []
+        own = {"\n": b"" if end is None else np.uint32(end).astype("<u4").tobytes()}  # names with a line end are no pieces
+        stops = np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            if self.is_odd(t):
+                own[name := f"\n{i}"] = self.whole(t).astype("<u4").tobytes()
+                pieces.append(name)
+            else:
+                pieces += t.lower().split()
+            pieces.append("\n")
+            stops[i + 1] = len(pieces)
+        if not pieces:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        at = pa.array(pieces, pa.string()).dictionary_encode().indices.to_numpy()
+        # Numbers are given in the order of first places.
+        names = [*map(pieces.__getitem__, np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1)).tolist())]
+        found = [*map(self.known.get, names)]
+        if None in found:
+            self.learn({*compress(names, map(is_, found, repeat(None)))} - own.keys())
+            found = [own.get(p) if f is None and p[0] == "\n" else self.known[p] if f is None else f for p, f in zip(names, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        first = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first, sizes[at]) + np.arange(ends[-1])]
+        return ids, np.diff(ends[stops])
 
 
 @cache
@@ -133,18 +149,34 @@ def library(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of some ranks."""
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of the ranks of documents with these counts, one after the other, and how many of each a document has."""
     width = 4 if len(ranks) and ranks.max() > 0xFFFF else 2
     r = ranks.astype(f"<u{width}")
     keep = np.ones((len(r), width), bool)
     for k in range(1, width):
         np.greater_equal(r, 1 << 8 * k, out=keep[:, k])
-    codes = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    codes[: len(r)] = keep[:, 1] if width == 2 else keep.sum(1, dtype=np.uint8) - 1
+    lengths = keep.sum(1, dtype=np.uint8)
+    fours = -(-counts // 4)
+    stops = np.cumsum(counts)
+    codes = np.zeros(4 * int(fours.sum()), np.uint8)
+    codes[np.repeat(4 * (np.cumsum(fours) - fours) - (stops - counts), counts) + np.arange(len(r))] = lengths - 1
     four = codes.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    return control.tobytes(), r.view(np.uint8)[keep.ravel()].tobytes()
+    bytes_before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6, r.view(np.uint8)[keep.ravel()], fours, bytes_before[stops] - bytes_before[stops - counts]
+
+
+def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column, each row with the bytes of its count of ``values``."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, one row after the other, and how many each has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8), np.diff(ends).astype(np.int64)
 
 
 def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
@@ -169,21 +201,29 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> tuple[DataFrame,
     which each task puts its documents and, last, its counts.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = library(tokenizer)
         size = max(end + 1, e.library.get_vocab_size())
-        kind, total = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64)
-        for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i : i + 500]
-                ids = [np.append(x, np.uint32(end)) for x in e.encode([t if isinstance(t, str) else "" for t in part["text"]])]
-                total += np.bincount(np.concatenate(ids), minlength=size)
-                yield pd.DataFrame({"doc_id": part["doc_id"].values, "ids": [x.astype(kind).tobytes() for x in ids], "counted": None, "counts": None})
-        met = np.flatnonzero(total)
-        yield pd.DataFrame({"doc_id": [None], "ids": [None], "counted": [met], "counts": [total[met]]})
-
+        kind, total, id_type = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64), None
+        for b in batches:
+            doc_ids, texts, start, held = b.column(0), [t or "" for t in b.column(1).to_pylist()], 0, 0
+            id_type = doc_ids.type
+            for i, t in enumerate(texts):
+                held += len(t)
+                if held < PART and i + 1 < len(texts):
+                    continue
+                ids, counts = e.encode(texts[start : i + 1], end)
+                total += np.bincount(ids, minlength=size)
+                part, none = doc_ids.slice(start, i + 1 - start), pa.nulls(i + 1 - start, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part, binaries(ids.astype(kind), counts), none, none], names=names)
+                start, held = i + 1, 0
+        if id_type is not None:
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([met], pa.list_(pa.int64())), pa.array([total[met]], pa.list_(pa.int64()))], names=names)
+
+    names = ["doc_id", "ids", "counted", "counts"]
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("ids binary, counted array<long>, counts array<long>").fields])
-    both = materialise(only(docs, "doc_id", "text").mapInPandas(run, schema), "token-ids")
+    both = materialise(only(docs, "doc_id", "text").mapInArrow(run, schema), "token-ids")
     pairs = both.where("counted is not null").select(F.explode(F.arrays_zip("counted", "counts")).alias("p"))
     return both.where("ids is not null").select("doc_id", "ids"), pairs.groupBy(F.col("p.counted").alias("id")).agg(F.sum("p.counts").alias("n"))
 
@@ -191,8 +231,10 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> tuple[DataFrame,
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
     """Encode ``doc_id, text`` of every row into the table of blocks at ``path``.
 
-    A null text has no ids but its end; rows of one id stand together, ordered by
-    what they hold; rows without an id come first.
+    A null or empty text has no ids but its end; a very long one is one document in
+    one block; rows of one id stand together, ordered by what they hold; rows without
+    an id come first; other columns are ignored; an empty table gives files without
+    blocks.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     stored, counted = encoded(docs, tokenizer, end)
@@ -207,25 +249,27 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     cuts = stored.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []
     edges = np.unique(np.array(cuts, np.int64))
 
-    def rank_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = held.value
-        for pdf in batches:
-            part = np.where(pdf["doc_id"].isna(), 0, np.searchsorted(edges, pdf["doc_id"].fillna(0).astype("int64"), side="right"))
-            ids = [np.frombuffer(x, wide) for x in pdf["ids"]]
-            out = pd.DataFrame([(len(x), *pack(r[x])) for x in ids], columns=["n", "control", "data"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out.assign(part=part)
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rank_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, size = held.value, np.dtype(wide).itemsize
+        for b in batches:
+            doc_ids = b.column(0)
+            raw, sizes = raw_bytes(b.column(1))
+            counts = sizes // size
+            control, data, fours, widths = pack(r[raw.view(wide)], counts)
+            at = np.searchsorted(edges, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            part = np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), 0, at)
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int32()), binaries(control, fours), binaries(data, widths), pa.array(part, pa.int32())], names=["doc_id", "n", "control", "data", "part"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, part, held_rows, size = 0, None, [], 0
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             ids, counts, control, data = zip(*held_rows)
-            ids = [None if pd.isna(i) else int(i) for i in ids]
-            return pd.DataFrame([(part, seq, ids, [*counts], b"".join(control), b"".join(data))], columns=["part", "seq", "doc_ids", "counts", "control", "data"])
+            values = ([part], [seq], [ids], [counts], [b"".join(control)], [b"".join(data)])
+            return pa.RecordBatch.from_arrays([pa.array(v, arrow_type(t)) for v, (_, t) in zip(values, columns(BLOCK))], names=[n for n, _ in columns(BLOCK)])
 
-        for pdf in batches:
-            for p, doc_id, n, control, data in zip(pdf["part"], pdf["doc_id"], pdf["n"], pdf["control"], pdf["data"]):
+        for b in batches:
+            for doc_id, n, control, data, p in zip(*(c.to_pylist() for c in b.columns)):
                 if held_rows and (p != part or size >= BLOCK_BYTES):
                     yield block()
                     seq, held_rows, size = seq + 1, [], 0
@@ -235,9 +279,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         if held_rows:
             yield block()
 
-    coded = stored.mapInPandas(rank_all, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n int, control binary, data binary, part int").fields]))
+    coded = stored.mapInArrow(rank_all, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n int, control binary, data binary, part int").fields]))
     placed = coded.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "data")
-    placed.mapInPandas(blocks, "part int, seq int, doc_ids array<long>, counts array<int>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    placed.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -252,19 +296,25 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     inside = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     starts = heads.select(F.col("part"), "seq", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("within")).join(parts, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_of = held.value
-        for pdf in batches:
-            for part, seq, doc_ids, counts, control, data in zip(*(pdf[c] for c in ("part", "seq", "doc_ids", "counts", "control", "data"))):
-                counts = np.asarray(counts, np.int64)
-                ids = id_of[unpack(control, data, counts)].astype("<u4")
+        for b in batches:
+            for i in range(b.num_rows):
+                part, seq, doc_ids, counts, control, data = (b.column(n)[i] for n, _ in columns(BLOCK))
+                counts = counts.values.to_numpy().astype(np.int64)
+                ids = id_of[unpack(control.as_buffer(), data.as_buffer(), counts)].astype("<u4")
                 stops = np.cumsum(counts)
-                each = [ids[a:b] for a, b in zip(stops - counts, stops)]
-                out = pd.DataFrame({"part": part, "seq": seq, "doc_id": pd.array([None if pd.isna(i) else int(i) for i in doc_ids], "Int64"), "offset": stops - counts, "n_tokens": counts, "ids_crc32": [crc32(x) for x in each]})
-                yield out.assign(ids=[x.astype(np.int64) for x in each]) if with_ids else out
-
-    shape = "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    rows = stored.mapInPandas(decode, shape).join(starts, ["part", "seq"])
+                raw, crc = memoryview(ids).cast("B"), []
+                for a, z in zip((4 * (stops - counts)).tolist(), (4 * stops).tolist()):
+                    crc.append(crc32(raw[a:z]))
+                out = [pa.array(np.full(len(counts), part.as_py()), pa.int32()), pa.array(np.full(len(counts), seq.as_py()), pa.int32()), doc_ids.values, pa.array(stops - counts), pa.array(counts), pa.array(crc, pa.int64())]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(ids, pa.int64())))
+                yield pa.RecordBatch.from_arrays(out, names=[n for n, _ in columns(shape)])
+
+    rows = stored.select(*[n for n, _ in columns(BLOCK)]).mapInArrow(decode, shape).join(starts, ["part", "seq"])
     return rows.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -80,11 +80,16 @@ def test_packing():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
         r = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
-        control, data = tokens.pack(r)
-        assert len(control) == -(-n // 4) and tokens.unpack(control, data, np.array([n])).tolist() == r.tolist()
-    a, b = tokens.pack(np.array([1, 300, 70000], np.uint32)), tokens.pack(np.array([5], np.uint32))
-    assert tokens.unpack(a[0] + b[0], a[1] + b[1], np.array([3, 1])).tolist() == [1, 300, 70000, 5]
-    assert len(tokens.pack(np.arange(256, dtype=np.uint32))[1]) == 256
+        control, data, fours, widths = tokens.pack(r, np.array([n]))
+        assert len(control) == fours[0] == -(-n // 4) and len(data) == widths[0] and tokens.unpack(control.tobytes(), data.tobytes(), np.array([n])).tolist() == r.tolist()
+    counts = np.array([3, 0, 1, 6])
+    r = np.array([1, 300, 70000, 5, *range(250, 256)], np.uint32)
+    control, data, fours, widths = tokens.pack(r, counts)
+    assert fours.tolist() == [1, 0, 1, 2] and widths.tolist() == [6, 0, 1, 6]
+    assert tokens.unpack(control.tobytes(), data.tobytes(), counts).tolist() == r.tolist()
+    alone = [tokens.pack(x, np.array([len(x)])) for x in np.split(r, np.cumsum(counts)[:-1])]
+    assert control.tobytes() == b"".join(x[0].tobytes() for x in alone) and data.tobytes() == b"".join(x[1].tobytes() for x in alone)
+    assert len(tokens.pack(np.arange(256, dtype=np.uint32), np.array([256]))[1]) == 256
 
 
 def test_memory_of_words_turns_over(library, monkeypatch):
@@ -92,5 +97,14 @@ def test_memory_of_words_turns_over(library, monkeypatch):
     e = tokens.LibraryIds(bpe.default_tokenizer())
     texts = [f"alpha{i} beta{i % 3} gamma {chr(97 + i)}{i}!!" for i in range(40)]
     for i in range(0, 40, 4):
-        assert [x.tolist() for x in e.encode(texts[i : i + 4])] == [ids(library, t) for t in texts[i : i + 4]]
+        found, counts = e.encode(texts[i : i + 4], 2)
+        want = [ids(library, t) + [2] for t in texts[i : i + 4]]
+        assert found.tolist() == sum(want, []) and counts.tolist() == [*map(len, want)]
         assert len(e.before) <= 40
+
+
+def test_ids_beside_nulls_stay_whole(spark):
+    docs = spark.createDataFrame([(None, "a b"), (2**60 + 1, "c"), (2**60 + 3, "d e f")], "doc_id long, text string").coalesce(1)
+    tokens.write(docs, path := scratch(spark, "t"))
+    assert [r.doc_id for r in tokens.read(spark, path).orderBy("start").collect()] == [None, 2**60 + 1, 2**60 + 3]
+    assert {r.doc_id for r in bpe.round_trip(docs).collect()} == {r.doc_id for r in bpe.decode(bpe.encode(docs)).collect()} == {None, 2**60 + 1, 2**60 + 3}
