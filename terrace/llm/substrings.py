@@ -21,6 +21,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -169,26 +170,24 @@ def deduplicate(docs: DataFrame, keep_text: bool = True, spec: windows.Spec = SP
     found, hot = windows.candidates(rows, spec)
     texts = windows.dealt(rows)
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for text, firsts, counts in zip(pdf["text"], pdf["firsts"], pdf["counts"]):
-                words = text.encode().split() if isinstance(text, str) else []
-                gone = windows.spans(firsts, counts, spec.length) if firsts is not None else []
+            for text, firsts, counts in zip(*(c.to_pylist() for c in b.columns[1:])):
+                words = text.encode().split() if text else []
+                gone = windows.spans(firsts, counts, spec.length) if firsts else []
                 kept, at = [], 0
-                for a, b in gone:
+                for a, z in gone:
                     kept += words[at:a]
-                    at = b
+                    at = z
                 kept += words[at:]
                 line = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), sha256(line).hexdigest()) + ((line.decode(), [list(x) for x in gone]) if keep_text else ()))
-            frame = _frame(out, ["n_words", "n_removed", "kept_sha256", *["kept", "removed"] * keep_text])
-            frame.insert(0, "doc_id", pdf["doc_id"].values)
-            yield frame
+                out.append((len(words), len(words) - len(kept), sha256(line).hexdigest(), line.decode(), gone))
+            yield windows.finished(b, out, shape)
 
     shape = "n_words long, n_removed long, kept_sha256 string" + ", kept string, removed array<array<int>>" * keep_text
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(shape).fields])
-    return windows.with_removals(texts, removals(texts, found, hot, spec)).mapInPandas(finish, schema)
+    return windows.with_removals(texts, removals(texts, found, hot, spec)).mapInArrow(finish, schema)
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

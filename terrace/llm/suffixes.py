@@ -21,6 +21,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,22 +232,20 @@ def deduplicate(docs: DataFrame, keep_text: bool = True, spec: windows.Spec = SP
     found, hot = windows.candidates(rows, spec)
     texts = windows.dealt(rows)
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for text, firsts, counts in zip(pdf["text"], pdf["firsts"], pdf["counts"]):
-                data = text.encode() if isinstance(text, str) else b""
-                gone = windows.spans(firsts, counts, spec.length) if firsts is not None else []
+            for text, firsts, counts in zip(*(c.to_pylist() for c in b.columns[1:])):
+                data = text.encode() if text else b""
+                gone = windows.spans(firsts, counts, spec.length) if firsts else []
                 edges = [0, *(x for span in gone for x in span), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((len(data), len(data) - len(kept), len(gone), sha256(kept).hexdigest()) + ((kept, [list(x) for x in gone]) if keep_text else ()))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "removed"] * keep_text])
-            frame.insert(0, "doc_id", pdf["doc_id"].values)
-            yield frame
+                kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2]))
+                out.append((len(data), len(data) - len(kept), len(gone), sha256(kept).hexdigest(), kept, gone))
+            yield windows.finished(b, out, shape)
 
     shape = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<array<int>>" * keep_text
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(shape).fields])
-    return windows.with_removals(texts, removals(texts, found, hot, spec)).mapInPandas(finish, schema)
+    return windows.with_removals(texts, removals(texts, found, hot, spec)).mapInArrow(finish, schema)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from terrace.llm.common import materialise, only, shuffle_partitions
+from terrace.llm.common import arrow_type, columns, materialise, only, shuffle_partitions
 
 #: Units handled at once by the array work, about; and bytes of text whose segments are compared before they are sent.
 UNITS, FLUSH = 1 << 20, 8 << 20
@@ -230,6 +231,13 @@ def with_removals(texts: DataFrame, removals: DataFrame) -> DataFrame:
     return texts.join(lists, F.col("_doc") == F.col("doc"), "left").select("doc_id", "text", "firsts", "counts")
 
 
+def finished(batch: pa.RecordBatch, rows: list[tuple], shape: str) -> pa.RecordBatch:
+    """The batch's ids as they are, and the leading columns of ``rows`` that ``shape`` names."""
+    made = columns(shape)
+    values = [*zip(*rows)] or [[]] * len(made)
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, arrow_type(t)) for v, (_, t) in zip(values, made))], names=["doc_id", *(n for n, _ in made)])
+
+
 def flushed(pdf: pd.DataFrame, spec: Spec, hot: np.ndarray) -> Iterator[dict]:
     """For about ``FLUSH`` bytes of text at a time: each different segment with its earliest place, and the places of the rest.
 
