@@ -107,3 +107,18 @@ def per_text(docs: DataFrame, kept: Sequence[str], compute: Callable[[list[str |
 
     schema = T.StructType([*(docs.schema[k] for k in kept), *T.StructType.fromDDL(shape).fields])
     return only(docs, *kept, "text").mapInArrow(run, schema)
+
+
+def salted_lookup(rows: DataFrame, named: DataFrame, key: str, count: str, spread: int = 64) -> DataFrame:
+    """``rows`` joined with ``named``, which has one row for each ``key`` and how many of ``rows`` have it (``count``).
+
+    A key with over a thousandth of all rows is dealt to ``spread`` tasks; there are
+    less than a thousand of these, so their list may be broadcast.
+    """
+    least = (named.agg(F.sum(count)).first()[0] or 0) // 1000
+    salts = F.sequence(F.lit(0), F.when(F.col(count) > least, spread - 1).otherwise(0))
+    hot = named.where(F.col(count) > least).select(F.col(key).alias("_hot"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int"))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    right = named.withColumn("_of", F.explode(salts)).withColumnRenamed(key, "_key").drop(count)
+    return left.join(right, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_of"))).drop("_key", "_salt", "_of")

@@ -3,8 +3,8 @@
 A document's fingerprint has a bit set where over half of its shingles' hashes
 have it.  Equal fingerprints are one from here on.  Two that differ in at most
 ``RADIUS`` of 64 bits agree in all but ``RADIUS`` of any ``blocks`` blocks of
-bits, so each fingerprint goes to one shard for every choice of agreeing blocks,
-and every link lies inside a shard; more blocks make more and smaller shards.
+bits, so each fingerprint goes to one shard for every choice of agreeing blocks
+(``BLOCKS``), and every link lies inside a shard.
 
 Each shard is a BK-tree: a node's children are keyed by their Hamming distance to
 it, and a search follows the edges within ``RADIUS`` of the distance it finds.
@@ -17,25 +17,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from terrace.llm.common import materialise, only, table
+from terrace.llm.common import materialise, only, per_text, plain, restored, salted_lookup, table
 from terrace.llm.copies import groups
 from terrace.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints that a shard should hold on average, at most; decides the number of blocks.
-SHARD = 32
+#: Blocks that the 64 bits are cut into.  Seven give 35 choices of 27 bits each: on average a shard holds 75 of ten
+#: billion fingerprints.  The number is the same at every size; a corpus of many more asks for one block more.
+BLOCKS = 7
 #: Fingerprints of a chunk, where a shard has more than twice as many.
 CHUNK = 8192
 #: Nodes of the trees searched together, and pairs of query and node looked at in one step.
-FOREST, PAIRS = 50_000, 2_000_000
+FOREST, PAIRS = 50_000, 250_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -58,24 +57,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long.  A null text has no words."""
+    return per_text(docs, ["doc_id"], lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)], "fp long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
-
-    return only(docs, "doc_id", "text").mapInPandas(run, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
-
-
-def masks(count: int, radius: int = RADIUS) -> list[int]:
-    """Bit masks, one of which any two of ``count`` fingerprints within ``radius`` agree on.
 
-    The smallest number of blocks whose shards hold about ``SHARD`` of them at most, from two that must agree.
-    """
-    for blocks in range(radius + 2, 65):
-        kept = 64 * (blocks - radius) // blocks
-        if count / 2**kept <= SHARD or comb(blocks, radius) > 100:
-            break
+def masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
+    """Bit masks of all choices of ``blocks - radius`` blocks, one of which any two fingerprints within ``radius`` agree on."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     whole = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
     return [sum(chosen) for chosen in combinations(whole, blocks - radius)]
@@ -103,20 +89,21 @@ def clusters(values: np.ndarray, roots: np.ndarray, radius: int = RADIUS) -> np.
     child = forest(values, roots)
     label = np.arange(len(values))
     tree_size = np.bincount(roots, minlength=len(values))[roots]
-    reach = np.arange(-radius, radius + 1)
     begin = 0
     while begin < len(values):
         end = begin + max(1, int(np.searchsorted(np.cumsum(tree_size[begin:]), PAIRS, side="right")))
         asked = np.arange(begin, end)
         node = roots[begin:end]
         while len(asked):
-            d = np.bitwise_count(values[asked] ^ values[node]).astype(np.int64)
+            d = np.bitwise_count(values[asked] ^ values[node]).astype(np.int8)
             near = (d <= radius) & (asked != node)
             _join(label, asked[near], node[near])
-            wide = d[:, None] + reach
-            following = np.where((wide >= 0) & (wide <= 64), child[node[:, None], np.clip(wide, 0, 64)], -1)
-            row, col = np.nonzero(following >= 0)
-            asked, node = asked[row], following[row, col]
+            on: list[tuple[np.ndarray, np.ndarray]] = []
+            for step in range(-radius, radius + 1):  # one edge length at a time, so that no matrix of all is made
+                there = np.flatnonzero((d >= -step) & (d <= 64 - step))
+                below = child[node[there], d[there] + step]
+                on.append((asked[there[below >= 0]], below[below >= 0]))
+            asked, node = (np.concatenate(x) for x in zip(*on))
         begin = end
     return label
 
@@ -133,9 +120,9 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def link(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def link(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, blocks: int = BLOCKS) -> DataFrame:
     """``a, b``: links that connect distinct fingerprints (column ``fp``) as all pairs within ``radius`` do."""
-    chosen = masks(fps.count(), radius)
+    chosen = masks(radius, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key"))
 
@@ -173,19 +160,20 @@ def near_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for each row.
 
     The component is the smallest id reachable over links.  Texts without words
-    share fingerprint 0.  Repeated rows stay; a row without an id has the component
-    that its text leads to (null if no row there has an id); an empty table gives
-    an empty one.
+    share fingerprint 0; a very long text has one fingerprint like others.  Repeated
+    rows stay; a row without an id has the component that its text leads to (null if
+    no row there has an id); other columns are ignored; an empty table gives an
+    empty one.
     """
     fps = materialise(fingerprints(docs), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     distinct = materialise(distinct, "distinct-fingerprints")
     found = components(link(distinct.select("fp"), radius))
-    grouped = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    grouped = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     grouped = materialise(grouped, "fingerprint-components")
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.select(F.col("fp").alias("_fp"), "component").join(least, "component").select("_fp", "component_id")
-    return fps.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = grouped.join(least, "component").select("fp", "n", "component_id")
+    return salted_lookup(fps, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,20 +185,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for each row, by the similarity of five-word shingles (``copies``).
 
     The component is the smallest id reachable over near copies; a row without an
-    id has the component that its text leads to.  Texts without words are one group.
+    id has the component that its text leads to.  Texts without words are one group;
+    very long texts are compared whole; other columns are ignored; an empty table
+    gives an empty one.
     """
-    numbered = materialise(only(docs, "doc_id", "text").withColumn("_n", F.monotonically_increasing_id()), "numbered")
-    grouped = groups(numbered.select(F.col("_n").alias("row"), "text"))
-    placed = materialise(numbered.select("_n", "doc_id").join(grouped, F.col("_n") == F.col("row")).select("doc_id", "group"), "placed")
+    numbered = materialise(only(docs, "doc_id", "text").toDF("_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    grouped = groups(numbered.select("row", "text"))
+    placed = materialise(numbered.select("row", F.col("_id").alias("doc_id")).join(grouped, "row").select("doc_id", "group"), "placed")
     least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "group").select("doc_id", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: the one with the smallest id, rows without an id after all others, and of repeated ids the first as read."""
-    numbered = materialise(docs.withColumn("_n", F.monotonically_increasing_id()), "numbered")
-    grouped = groups(numbered.select(F.col("_n").alias("row"), "text"))
-    ids = numbered.select("_n", F.col("doc_id").alias("_id"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("lacks"), "_id", "row"))["row"]
-    kept = materialise(grouped.join(ids, F.col("row") == F.col("_n")).groupBy("group").agg(first.alias("_kept")).select("_kept"), "kept")
-    return numbered.join(kept, F.col("_n") == F.col("_kept"), "left_semi").select(*docs.columns)
+    """One row of each group: the one with the smallest id, rows without an id after all others, and of repeated ids the first as read.
+
+    Texts without words, null ones too, are one group; other columns, whatever their
+    names and types, come through; an empty table gives an empty one.
+    """
+    rows, (doc_id, text) = plain(docs, "doc_id", "text")
+    numbered = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    grouped = groups(numbered.select("row", F.col(text).alias("text")))
+    ids = numbered.select("row", F.col(doc_id).alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "row"))["row"]
+    kept = materialise(grouped.join(ids, "row").groupBy("group").agg(first.alias("row")).select("row"), "kept")
+    return restored(numbered.join(kept, "row", "left_semi"), docs)

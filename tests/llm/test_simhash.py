@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from terrace.llm import simhash
+from terrace.llm.common import salted_lookup
 from terrace.llm.graph import components
 from tests.llm.helpers import TRICKY, documents, rows, tricky
 
@@ -45,15 +47,31 @@ def test_query(spark, sf_dir):
     assert len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("count", [10, 10**6, 10**9])
-def test_masks_are_complete(count):
+@pytest.mark.parametrize("blocks", [5, 7, 9])
+def test_masks_are_complete(blocks):
     rng = np.random.default_rng(0)
-    chosen = simhash.masks(count)
+    chosen = simhash.masks(blocks=blocks)
     for _ in range(300):
         flips = sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))
         assert any(flips & m == 0 for m in chosen)
 
 
+def test_common_fingerprints_are_salted(spark):
+    """A key with a third of all rows is dealt to several tasks, and all rows find their names."""
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 0, id) as fp")
+    named = rows.groupBy("fp").count().selectExpr("fp", "count as n", "fp + 1 as name")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = salted_lookup(rows, named, "fp", "n")
+        assert sorted(map(tuple, got.select("fp", "id", "name").collect())) == sorted((i if i % 3 else 0, i, (i if i % 3 else 0) + 1) for i in range(3000))
+        spread = got.where("fp = 0").groupBy(F.spark_partition_id()).count().count()
+        assert spread > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_trees_find_all_links():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 20).astype(np.uint64)
