@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WORD, materialise, table
+from terrace.llm.common import WORD, materialise, plain, restored, salted_lookup, shuffle_partitions, table
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -35,42 +35,51 @@ BLOCK = 256
 BUCKETS = 2048
 #: 2**31 divided by the golden ratio, odd: i * GOLDEN mod 2**31 visits every point once in 2**31 slots.
 GOLDEN, CIRCLE = 1327217885, 1 << 31
-#: Cells in which points and source intervals meet.
+#: Cells in which points and source intervals meet, at least.
 CELLS = 4096
 
 
 def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """``row, doc_id, source, size``: the row's number (column ``row``, else as it is read) and the words of the whole text, 0 for a null text."""
+    """``row, doc_id, source, origin, size``: the row's number (column ``row``, else as it is read), its source as a key that is never null, and the words of the whole text, 0 for a null text."""
     number = F.col(row) if row else F.monotonically_increasing_id()
-    return docs.select(number.alias("row"), *[F.col(f"`{n}`") for n in ("doc_id", "source", "text")]).select(
-        "row", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    )
+    picked = docs.select(number.alias("row"), *[F.col(f"`{n}`") for n in ("doc_id", "source", "text")])
+    return picked.select("row", "doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("origin"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``source_no``, from 1 by code point, null last.
+
+    Sources are dealt out by range and numbered there; what meets in one task is a
+    count for each partition.
+    """
+    order = F.col("source").asc_nulls_last()
+    at = materialise(sources.repartitionByRange(shuffle_partitions(sources.sparkSession), order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "mix-sources")
+    at = at.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    heads = at.groupBy("_part").count().select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    return at.join(F.broadcast(heads), F.col("_part") == F.col("_p")).withColumn("source_no", F.col("_before") + F.col("_at") + 1).drop("_at", "_part", "_p", "_before")
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """``source, source_size, target`` for each source.
+    """``source_no, source, origin, rows, source_size, target, words_wanted`` for each source.
 
     A source whose share exceeds ``REPEATS`` times its size stops there and the
-    rest is shared anew.  With sources sorted by cap over weight, the stopped ones
-    are the first few: with the words still to share and the weights still to
-    serve after the i-th, the level is the first quotient that its cap reaches.
+    rest is shared anew: the level, a weight's worth of words, rises until no
+    further source stops, which takes few rounds of sums over the sources.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    ranked = by_source.withColumn("weight", weight.cast("double")).withColumn("cap", REPEATS * F.col("source_size").cast("double"))
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    sorted_ = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    level = ranked.select(
-        "*",
-        (F.sum("source_size").over(whole) * BUDGET).alias("all"),
-        F.coalesce(F.sum("cap").over(sorted_.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("spent"),
-        F.sum("weight").over(sorted_.rowsBetween(0, W.unboundedFollowing)).alias("open"),
-    ).withColumn("quotient", (F.col("all") - F.col("spent")) / F.col("open"))
-    reached = F.when(F.col("cap") / F.col("weight") >= F.col("quotient"), F.struct(F.col("cap") / F.col("weight"), "quotient"))
-    return level.withColumn("level", F.min(reached).over(whole)["quotient"]).select(
-        "source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")).alias("target")
-    )
+    by = sized.groupBy("origin").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("source_no") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    ranked = numbered(by).withColumns({"weight": weight.cast("double"), "cap": REPEATS * F.col("source_size").cast("double")})
+    ranked = materialise(ranked, "mix-ranked")
+    budget = BUDGET * (ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level, higher = -1.0, 0.0
+    while higher > level:
+        level = higher
+        stops = F.col("cap") <= level * F.col("weight")
+        spent, open_ = ranked.agg(F.sum(F.when(stops, F.col("cap"))), F.sum(F.when(~stops, F.col("weight")))).first()
+        higher = (budget - (spent or 0)) / open_ if open_ else level
+    target = F.least(F.col("cap"), level * F.col("weight"))
+    return ranked.select("source_no", "source", "origin", "rows", "source_size", target.alias("target"), F.floor(target).cast("long").alias("words_wanted"))
 
 
 def _running(df: DataFrame, by: str, bucket: Column, order: list, value: str, name: str) -> DataFrame:
@@ -88,88 +97,82 @@ def _running(df: DataFrame, by: str, bucket: Column, order: list, value: str, na
     )
 
 
-def pieces(sized: DataFrame, goals: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """``source_no, block, doc_id, copy, start, words``: what of which document each block of a source's stream holds.
+def pieces(sized: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """``source_no, block, row, doc_id, copy, start, words``: what of which document each block of a source's stream holds.
 
     ``start`` is the piece's first word in its document.  A document whose stream
     is read twice has pieces for each reading.
     """
     key = F.xxhash64("doc_id", "copy", F.lit(seed))
-    placed = _running(
-        sized.where("size > 0").join(F.broadcast(goals.select("source_no", "source", "source_size", "words_wanted").withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source"),
-        "source_no", F.pmod(key, F.lit(BUCKETS)).cast("int"), [key, F.col("doc_id"), F.col("copy")], "size", "at",
-    )
+    placed = _running(sized.where("size > 0").drop("source", "target"), "source_no", F.pmod(key, F.lit(BUCKETS)).cast("int"), [key, F.col("doc_id"), F.col("copy")], "size", "at")
     read = placed.withColumn("reading", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("at", F.col("at") + F.col("reading") * F.col("source_size"))
     read = read.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("words_wanted"))).where("end > at")
     cut = read.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(end - 1) div {block}"))))
     first, last = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("end"), (F.col("block") + 1) * block)
-    return cut.select("source_no", "block", "doc_id", "copy", (first - F.col("at")).alias("start"), (last - first).alias("words"))
+    return cut.select("source_no", "block", "row", "doc_id", "copy", (first - F.col("at")).alias("start"), (last - first).alias("words"))
+
 
+def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``slot, source_no, block``: every block that a source owes, at one slot of the mix.
 
-def schedule(goals: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
-    """``slot, source_no, block``: every block that a source owes, at one slot of the mix."""
+    Points and the sources' spans meet in cells, of which there are at least as many
+    as sources: a cell holds the few spans that touch it.
+    """
     spark = goals.sparkSession
+    owed = F.ceil(F.col("words_wanted") / block)
+    slots, sources, last, words = goals.agg(F.sum(owed), F.count("*"), F.max(F.when(F.col("words_wanted") > 0, F.col("source_no"))), F.sum("words_wanted")).first()
+    slots = slots or 0
+    count = max(CELLS, 1 << sources.bit_length())
     point = F.pmod((F.col("id") % CIRCLE) * GOLDEN, F.lit(CIRCLE))
-    points = spark.range(slots).select(F.col("id").alias("slot"), (point / CIRCLE).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    order = W.orderBy("source_no")
-    share = F.col("words_wanted") / F.sum("words_wanted").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    spans = goals.where("words_wanted > 0").withColumn("share", share).withColumn("hi", F.sum("share").over(order)).select("source_no", F.coalesce(F.lag("hi").over(order), F.lit(0.0)).alias("lo"), F.when(F.lead("hi").over(order).isNull(), F.lit(1.5)).otherwise(F.col("hi")).alias("hi"))
-    cells = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    met = points.join(F.broadcast(cells), (F.col("cell") == F.col("_cell")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "source_no", F.lit(1).alias("one"))
-    width = max(1, -(-slots // BUCKETS))
-    ranked = _running(met, "source_no", F.expr(f"cast(slot div {width} as int)"), [F.col("slot")], "one", "block").drop("one")
-    owed = goals.select(F.col("source_no").alias("_n"), F.ceil(F.col("words_wanted") / block).alias("owed"))
-    hits = met.groupBy("source_no").agg(F.count("*").alias("hits"))
-    used = ranked.join(F.broadcast(owed), F.col("source_no") == F.col("_n")).where("block < owed").select("slot", "source_no", "block")
+    points = spark.range(slots).select(F.col("id").alias("slot"), (point / CIRCLE).alias("u")).withColumn("cell", F.floor(F.col("u") * count))
+    wanted = goals.where("words_wanted > 0").select("source_no", "words_wanted", owed.alias("owed"), F.lit(0).alias("all"))
+    summed = _running(wanted, "all", F.expr(f"cast(source_no div {-(-(sources or 1) // BUCKETS)} as int)"), [F.col("source_no")], "words_wanted", "before")
+    hi = F.when(F.col("source_no") == F.lit(last), 1.5).otherwise((F.col("before") + F.col("words_wanted")) / F.lit(float(words or 1)))
+    spans = summed.select("source_no", "owed", (F.col("before") / F.lit(float(words or 1))).alias("lo"), hi.alias("hi"))
+    cells = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") * count), F.least(F.floor(F.col("hi") * count), F.lit(count - 1)))))
+    met = points.join(cells, (F.col("cell") == F.col("_cell")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "source_no", "owed", F.lit(1).alias("one"))
+    ranked = _running(met, "source_no", F.expr(f"cast(slot div {max(1, -(-slots // BUCKETS))} as int)"), [F.col("slot")], "one", "block")
+    hits = met.groupBy(F.col("source_no").alias("_n")).agg(F.count("*").alias("hits"))
     rest = (
-        owed.join(hits, F.col("_n") == F.col("source_no"), "left").withColumn("hits", F.coalesce("hits", F.lit(0))).where("owed > hits")
-        .select((F.lit(slots) + F.col("_n")).alias("slot"), F.col("_n").alias("source_no"), F.explode(F.sequence(F.col("hits"), F.col("owed") - 1)).alias("block"))
+        wanted.join(hits, F.col("_n") == F.col("source_no"), "left").withColumn("hits", F.coalesce("hits", F.lit(0))).where("owed > hits")
+        .select((F.lit(slots) + F.col("source_no")).alias("slot"), "source_no", F.explode(F.sequence(F.col("hits"), F.col("owed") - 1)).alias("block"))
     )
-    return used.unionByName(rest)
+    return ranked.where("block < owed").select("slot", "source_no", "block").unionByName(rest)
 
 
-def prepare(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """Sized rows, sources with their targets, and the number of slots.
+def prepare(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sized rows with what their source is to give, and the sources with their targets.
 
     Rows of one id are its copies, numbered by source and size; rows without an id
-    go by their own number, so that they don't meet in one task.  The table of sources is as long as there are sources; it is broadcast where
-    rows meet it.
+    go by their own number, so that they don't meet in one task.  A row finds its
+    source by a join in which common sources are salted.
     """
     lone = F.when(F.col("doc_id").isNull(), F.col("row"))
     copy = F.coalesce(lone, F.row_number().over(W.partitionBy("doc_id", lone).orderBy("source", "size")))
     sized = materialise(sizes(docs, row).withColumn("copy", copy), "mix-sizes")
-    numbered = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    goals = materialise(targets(sized).withColumn("words_wanted", F.floor("target").cast("long")).withColumn("source_no", numbered), "mix-targets")
-    slots = goals.agg(F.sum(F.ceil(F.col("words_wanted") / BLOCK))).first()[0] or 0
-    return sized, goals, slots
+    goals = materialise(targets(sized), "mix-targets")
+    return materialise(salted_lookup(sized, goals.drop("source"), "origin", "rows").drop("origin"), "mix-rows"), goals
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: ``slot, source_no, block, doc_id, copy, start, words``, one row for each piece of a document."""
-    sized, goals, slots = prepare(docs)
-    return schedule(goals, slots).join(pieces(sized, goals, seed), ["source_no", "block"])
+    """The mix itself: ``slot, source_no, block, row, doc_id, copy, start, words``, one row for each piece of a document."""
+    sized, goals = prepare(docs)
+    return schedule(goals).join(pieces(sized, seed), ["source_no", "block"])
 
 
 def taken(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
     """What the mix takes of each document.
 
-    Columns: row (the column named so, else a number), doc_id, source, size, source_size, target, taken.  Null texts and
-    texts without words have size 0 and nothing taken; a null source is a source
-    of its own, the last; of repeated rows each is a document; an empty table
-    gives an empty one.  Reruns agree, as every order is that of a hash of the
-    document's id; that of rows without an id is that of their numbers.
+    Columns: row (the column named so, else a number), doc_id, source, source_no, copy, size, source_size, target, taken.  Null texts and
+    texts without words have size 0 and nothing taken; a very long text is cut into
+    blocks like others; a null source is a source of its own, the last; of repeated
+    rows each is a document; other columns are ignored; an empty table gives an empty
+    one.  Reruns agree, as every order is that of a hash of the document's id; that of
+    rows without an id is that of their numbers.
     """
-    sized, goals, slots = prepare(docs, row)
-    got = (
-        schedule(goals, slots).join(pieces(sized, goals, seed), ["source_no", "block"])
-        .groupBy("doc_id", "copy").agg(F.sum("words").alias("taken")).withColumnsRenamed({"doc_id": "_id", "copy": "_copy"})
-    )
-    goal = goals.select(F.col("source").alias("_s"), "source_size", "target")
-    return (
-        sized.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_s")))
-        .join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left")
-        .select("row", "doc_id", "source", "copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    )
+    sized, goals = prepare(docs, row)
+    got = schedule(goals).join(pieces(sized, seed), ["source_no", "block"]).groupBy("row").agg(F.sum("words").alias("taken"))
+    return sized.join(got, "row", "left").select("row", "doc_id", "source", "source_no", "copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +180,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix reads them: once or twice where it takes any of their words, else not at all."""
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    times = taken(numbered, row="_row").where("taken > 0").select(F.col("row").alias("_taken"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return (
-        numbered.join(times, F.col("_row") == F.col("_taken"))
-        .withColumn("_reading", F.explode(F.array_repeat(F.lit(True), F.col("_times"))))
-        .select(*docs.columns)
-    )
+    """Documents as often as the mix reads them: once or twice where it takes any of their words, else not at all.
+
+    Texts without words and null texts go; columns besides ``doc_id``, ``text`` and
+    ``source`` come through, whatever their names; an empty table gives an empty one.
+    """
+    rows, (doc_id, source, text) = plain(docs, "doc_id", "source", "text")
+    held = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "mix-documents")
+    named = held.select("row", F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    times = taken(named, row="row").where("taken > 0").select("row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return restored(held.join(times, "row").withColumn("reading", F.explode(F.array_repeat(F.lit(True), F.col("times")))), docs)

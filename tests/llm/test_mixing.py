@@ -56,10 +56,22 @@ def test_edges(spark):
     assert out.columns == docs.columns and out.where("doc_id = 7").count() <= 4
 
 
+def test_many_sources(spark):
+    """A source for nearly every document: none meets the others in one task, and targets are those of plain resharing."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 37), f"host{i % 700:03}" if i % 3 else "host000") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.taken(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan.replace("_p", "")
+    check(got.toPandas(), docs.toPandas())
+    number = {r.source: r.source_no for r in mixing.targets(mixing.sizes(docs)).collect()}
+    assert [number[s] for s in sorted(number)] == list(range(1, len(number) + 1))
+
+
 def test_schedule_interleaves(spark, sf_dir):
     """Every stretch of the mix holds the sources about as often as the whole does."""
-    _, goals, slots = mixing.prepare(documents(spark, sf_dir))
-    plan = mixing.schedule(goals, slots).toPandas()
+    _, goals = mixing.prepare(documents(spark, sf_dir))
+    plan = mixing.schedule(goals).toPandas()
+    slots = len(plan)
     assert plan.groupby("source_no").block.apply(lambda b: sorted(b) == list(range(len(b)))).all()
     whole = plan.source_no.value_counts(normalize=True)
     half = plan[plan.slot < slots // 2].source_no.value_counts(normalize=True).reindex(whole.index).fillna(0)
