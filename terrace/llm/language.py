@@ -23,9 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from terrace.llm.common import only, table
+from terrace.llm.common import materialise, only, per_text, table
 
 #: Training rows of a language, at most.
 ROWS_PER_LANGUAGE = 800
@@ -212,6 +211,8 @@ def learn(docs: DataFrame) -> Model:
     chosen = ranked.where(F.col("_rank") <= ROWS_PER_LANGUAGE).select(F.col("doc_id").alias("_id")).distinct()
     train = rows.where(F.col("lang").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("lang", "text")
     counts = train.mapInPandas(_grams, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    # One table of counts, read for each of the three rankings.
+    counts = materialise(counts, "language-counts")
     totals = counts.groupBy("kind", "item").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     top = [totals.where(F.col("kind") == k).orderBy(F.desc("all"), "item").limit(n).collect() for k, n in (("script", 100), ("word", WORDS), ("gram", TRIGRAMS))]
     return build(*top)
@@ -252,57 +253,49 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def judged(m: Model, text: str | None) -> tuple[str, float, int]:
+    """The language of a text, its share of the letters, and the number of spans."""
+    words, labels = label(m, text)
+    if not len(labels):
+        return "und", 0.0, 0
+    if not any(script(w) in m.scripts for w in words):
+        return m.default, 0.0, 0
+    share = np.bincount(labels, np.array([letters(w) for w in words], float), len(m.languages))
+    best = int(share.argmax())
+    return m.languages[best], float(share[best] / share.sum()), 1 + int((np.diff(labels) != 0).sum())
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, n_spans`` for each row.
 
     The score is the part of the letters in spans of the predicted language.  A
     null text or one without letters is ``und`` with score 0; one whose scripts no
-    language was learned for gets the commonest language with score 0.  Repeated
-    rows stay; an empty table gives an empty one.
+    language was learned for gets the commonest language with score 0.  A very long
+    text is labelled whole.  Repeated rows and rows without an id stay; other columns
+    are ignored; an empty table gives an empty one.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                words, labels = label(m, text if isinstance(text, str) else None)
-                if not len(labels):
-                    out.append(("und", 0.0, 0))
-                    continue
-                known = np.array([letters(w) for w in words], float)
-                if len(m.scripts) < len(SCRIPTS) and not any(script(w) in m.scripts for w in (words[:50] if len(words) < 50 else words)):
-                    out.append((m.default, 0.0, 0))
-                    continue
-                share = np.bincount(labels, known, len(m.languages))
-                best = int(share.argmax())
-                out.append((m.languages[best], float(share[best] / share.sum()), 1 + int((np.diff(labels) != 0).sum())))
-            frame = pd.DataFrame(out, columns=["lang_pred", "score", "n_spans"])
-            frame.insert(0, "doc_id", pdf["doc_id"].values)
-            frame.insert(1, "held_out", pdf["held_out"].values)
-            yield frame
-
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, lang_pred string, score double, n_spans long").fields])
-    return only(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, schema)
+    def run(texts: list[str | None]) -> list:
+        return [*zip(*(judged(held.value, t) for t in texts))] or [[], [], []]
+
+    return per_text(only(docs, "doc_id", "text").withColumn("held_out", held_out()), ["doc_id", "held_out"], run, "lang_pred string, score double, n_spans long")
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, first_word, last_word, lang`` for each stretch of words in one language."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                words, labels = label(m, text if isinstance(text, str) else None)
-                edges = [0, *(np.flatnonzero(np.diff(labels)) + 1), len(labels)]
-                out += [(doc_id, int(a), int(b) - 1, m.languages[labels[a]]) for a, b in zip(edges, edges[1:]) if b > a]
-            yield pd.DataFrame(out, columns=["doc_id", "first_word", "last_word", "lang"])
-
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("first_word int, last_word int, lang string").fields])
-    return only(docs, "doc_id", "text").mapInPandas(run, schema)
+    def run(texts: list[str | None]) -> list:
+        out = []
+        for text in texts:
+            _, labels = label(held.value, text)
+            edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+            out.append(([a for a, b in zip(edges, edges[1:]) if b > a], [b - 1 for a, b in zip(edges, edges[1:]) if b > a], [held.value.languages[labels[a]] for a, b in zip(edges, edges[1:]) if b > a]))
+        return [*zip(*out)] or [[], [], []]
+
+    found = per_text(docs, ["doc_id"], run, "first_word array<int>, last_word array<int>, lang array<string>")
+    return found.select("doc_id", F.explode(F.arrays_zip("first_word", "last_word", "lang")).alias("s")).select("doc_id", "s.first_word", "s.last_word", "s.lang")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

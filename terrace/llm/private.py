@@ -25,9 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from terrace.llm.common import only, table
+from terrace.llm.common import only, per_text, table
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -228,19 +227,15 @@ def detect(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
     A null text counts as empty; repeated rows stay; an empty table gives an empty one.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                own, every = find(text, classifier) if isinstance(text, str) else ([], [])
-                count = Counter(k for k, _, _ in every)
-                out.append((*(count[k] for k in KINDS), sha256(line(own).encode()).hexdigest(), line(every)))
-            frame = pd.DataFrame(out, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
-            frame.insert(0, "doc_id", pdf["doc_id"].values)
-            yield frame
-
-    shape = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return only(docs, "doc_id", "text").mapInPandas(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(shape).fields]))
+    def run(texts: list[str | None]) -> list:
+        out = []
+        for text in texts:
+            own, every = find(text, classifier) if text else ([], [])
+            count = Counter(k for k, _, _ in every)
+            out.append((*(count[k] for k in KINDS), sha256(line(own).encode()).hexdigest(), line(every)))
+        return [*zip(*out)] or [[]] * (len(KINDS) + 2)
+
+    return per_text(docs, ["doc_id"], run, ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[Span]) -> str:
