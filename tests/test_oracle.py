@@ -35,6 +35,17 @@ def test_every_query_has_sql():
     assert QUERIES.keys() == ORACLE_SQL.keys()
 
 
+def test_entry_without_the_training_data_operators(monkeypatch):
+    """The raster queries are there, and nothing raises, where the subpackage is gone."""
+    import importlib.util
+
+    import __spark_entry__
+
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("terrace.llm") else find(name, *a))
+    assert __spark_entry__.queries().keys() == QUERIES.keys() and __spark_entry__.oracle_sql() == ORACLE_SQL
+
+
 def test_entry(spark):
     import __spark_entry__
 
