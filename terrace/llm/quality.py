@@ -2,10 +2,12 @@
 
 Sequential covering grows conjunctions of thresholds that single out rejected
 documents, prunes each on rows it was not grown on, and keeps it if it is
-precise there.  The list becomes an ordered chain of ``when`` expressions, so
-applying it is a projection.  Rules are fitted on at most ``SAMPLE_ROWS``
-labelled rows, those with the smallest hash of their id; everything else covers
-all rows and whole texts.
+precise there.  Each round does so for every way of keeping a part of the rows
+back, and takes the best rule.  The list becomes an ordered chain of ``when``
+expressions, so applying it is a projection.  Rules are fitted on at most
+``SAMPLE_ROWS`` labelled rows, those with the smallest hash of their id, less
+those that the base rejects anyway; everything else covers all rows and whole
+texts.
 """
 
 from __future__ import annotations
@@ -24,13 +26,18 @@ SAMPLE_ROWS = 20_000
 #: A rule is kept if so large a part of what it covers is rejected rightly, on rows it was not grown on.
 PRECISION = 0.9
 #: The least number of such rows that a rule must cover, and the most rules and conditions.
-COVER, RULES, CONDITIONS = 5, 12, 3
+COVER, RULES, CONDITIONS = 3, 12, 3
+#: Parts of the labelled rows, each of which prunes the rules grown on the others.
+PARTS = 3
 #: Candidate thresholds of a feature.
 CUTS = 24
 
 SYMBOLS = "#*$%&|<>"
+ALPHABET = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: What a line of prose ends with.
+ENDS = frozenset(".!?:;\"'”’»…。！？")
 SPACE = " \t\n\v\f\r"
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long, n_exclaim long, n_distinct long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long, n_exclaim long, n_distinct long, n_top long, n_bare long, n_ends long"
 #: What rules compare, as SQL over the struct ``f`` of counts.
 FEATURES = {
     "symbols_per_word": "f.n_symbols / greatest(f.n_words, 1)",
@@ -41,9 +48,16 @@ FEATURES = {
     "digits": "f.n_digits / greatest(f.word_chars, 1)",
     "exclaim": "f.n_exclaim / greatest(f.n_words, 1)",
     "distinct": "f.n_distinct / greatest(f.n_words, 1)",
+    "top": "f.n_top / greatest(f.n_words, 1)",
+    "bare": "f.n_bare / greatest(f.n_words, 1)",
+    "ends": "f.n_ends / greatest(f.n_lines, 1)",
+    "words_per_line": "f.n_words / greatest(f.n_lines, 1)",
 }
 
 
+BASE_FAILED = "f.n_words < 50 or 100 * f.n_repeat_words > 50 * f.n_words"
+
+
 def repeated(ids: list[int], n: int = 3) -> int:
     """Positions covered by an n-gram that stands at two places or more."""
     if len(ids) < n:
@@ -63,10 +77,12 @@ def repeated(ids: list[int], n: int = 3) -> int:
 def measure(text: str | None) -> tuple[int, ...]:
     """The counts of one text, in the order of ``COUNTS``; all 0 for a null text."""
     if not text:
-        return (0,) * 10
+        return (0,) * 13
     words = text.encode().split()
     numbers: dict[bytes, int] = {}
     ids = [numbers.setdefault(w, len(numbers)) for w in words]
+    each = np.bincount(np.array(ids, np.int64), minlength=1)
+    bare = np.array([w.isascii() and not w.isalnum() and not any(c in ALPHABET for c in w) for w in numbers] or [False])
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     lower = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
@@ -82,6 +98,9 @@ def measure(text: str | None) -> tuple[int, ...]:
         int(((points >= 48) & (points <= 57)).sum()),
         text.count("!"),
         len(numbers),
+        int(each.max()),
+        int(each[bare].sum()),
+        sum(x.rstrip(SPACE)[-1] in ENDS for x in lines),
     )
 
 
@@ -143,32 +162,41 @@ def _widen(rule: Rule, grow: pd.DataFrame) -> Rule:
     return Rule(tuple(moved))
 
 
+def _pruned(grow: pd.DataFrame, prune: pd.DataFrame) -> tuple[tuple[float, int], Rule] | None:
+    """A rule grown on some rows and pruned on others, with its worth there: precision, and rows rejected rightly."""
+    if not grow["bad"].any() or not prune["bad"].any():
+        return None
+    cuts = {name: np.unique(np.quantile(grow.loc[grow["bad"], name], np.linspace(0, 1, CUTS))) for name in FEATURES}
+    cuts = {k: np.unique(np.concatenate([v, np.quantile(grow.loc[~grow["bad"], k], [0, 0.01, 0.99, 1])])) if (~grow["bad"]).any() else v for k, v in cuts.items()}
+    rule = _grow(grow, grow["bad"].values, cuts)
+    if rule is None:
+        return None
+
+    def worth(r: Rule) -> tuple[float, int]:
+        c = r.covers(prune)
+        p, n = int((c & prune["bad"]).sum()), int((c & ~prune["bad"]).sum())
+        return (p / (p + n), p) if p >= COVER else (0.0, p)
+
+    while len(rule.conditions) > 1 and worth(shorter := Rule(rule.conditions[:-1])) >= worth(rule):
+        rule = shorter
+    return worth(rule), rule
+
+
 def fit(sample: pd.DataFrame) -> list[Rule]:
-    """A decision list from rows with the columns of ``FEATURES``, ``bad`` and ``part`` (0 to 2; part 2 prunes)."""
+    """A decision list from rows with the columns of ``FEATURES``, ``bad`` and ``part`` (0 to ``PARTS`` - 1)."""
     rules: list[Rule] = []
     left = sample.reset_index(drop=True)
     while len(rules) < RULES and len(left):
-        grow, prune = left[left["part"] != 2], left[left["part"] == 2]
-        if not grow["bad"].any() or not prune["bad"].any():
+        found = [r for k in range(PARTS) if (r := _pruned(left[left["part"] != k], left[left["part"] == k]))]
+        found = [r for r in found if r[0][0] >= PRECISION]
+        if not found:
             break
-        cuts = {name: np.unique(np.quantile(grow.loc[grow["bad"], name], np.linspace(0, 1, CUTS))) for name in FEATURES}
-        cuts = {k: np.unique(np.concatenate([v, np.quantile(grow.loc[~grow["bad"], k], [0, 0.01, 0.99, 1])])) if (~grow["bad"]).any() else v for k, v in cuts.items()}
-        rule = _grow(grow, grow["bad"].values, cuts)
-        if rule is None:
+        rule = _widen(max(found, key=lambda r: r[0])[1], left)
+        covered = rule.covers(left)
+        if not covered.any() or left.loc[covered, "bad"].mean() < PRECISION:
             break
-
-        def worth(r: Rule) -> float:
-            c = r.covers(prune)
-            p, n = int((c & prune["bad"]).sum()), int((c & ~prune["bad"]).sum())
-            return (p - n) / (p + n) if p + n >= COVER else -1.0
-
-        while len(rule.conditions) > 1 and worth(shorter := Rule(rule.conditions[:-1])) >= worth(rule):
-            rule = shorter
-        if worth(rule) < 2 * PRECISION - 1:
-            break
-        rule = _widen(rule, grow)
         rules.append(rule)
-        left = left[~rule.covers(left)].reset_index(drop=True)
+        left = left[~covered].reset_index(drop=True)
     return rules
 
 
@@ -176,9 +204,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules from ``labels`` (``doc_id, quality``); of several labels of a document the smallest counts, null ones don't."""
     of = only(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).withColumnRenamed("doc_id", "_id")
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).withColumn("f", counts("text"))
-    sample = rows.select((F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("part"), "doc_id", *[F.expr(e).alias(k) for k, e in FEATURES.items()])
-    return fit(sample.limit(2 * SAMPLE_ROWS).toPandas().sort_values(["doc_id", *FEATURES]).reset_index(drop=True))
+    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).withColumn("f", counts("text")).where(f"not ({BASE_FAILED})")
+    sample = rows.select((F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"), "doc_id", *[F.expr(e).alias(k) for k, e in FEATURES.items()])
+    # Rows of repeated ids may be more than the labels; the first ones by hash and features are the same at every run.
+    first = sample.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(SAMPLE_ROWS)
+    return fit(first.toPandas().sort_values(["doc_id", *FEATURES]).reset_index(drop=True))
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -191,14 +221,12 @@ def verdict(rules: list[Rule]) -> Column:
     return chain.otherwise(0)
 
 
-BASE_FAILED = "f.n_words < 50 or 100 * f.n_repeat_words > 50 * f.n_words"
-
-
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs`` with ``f``, ``base_failed``, ``rule`` and ``kept``.
 
-    A null or empty text has no words and fails the base; repeated rows are judged
-    alike; an empty table gives an empty one.
+    A null or empty text has no words and fails the base; a very long one is measured
+    whole; repeated rows are judged alike; other columns come through, but not those
+    of the names made here; an empty table gives an empty one.
     """
     return docs.withColumn("f", counts("text")).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
@@ -210,7 +238,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep.
+
+    Null, empty and short texts go by the base; columns of any name and type come
+    through; an empty table gives an empty one.
+    """
     rules = learn(docs, table(spark, sf_dir, "labels"))
     columns = docs.columns
     plain = docs.toDF(*[f"_{i}" for i in range(len(columns))])

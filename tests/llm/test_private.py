@@ -60,7 +60,26 @@ def test_learns_secrets(spark):
     for (_, text), key in zip(made, keys):
         assert [text[a:b] for k, a, b in private.find(text, model)[1] if k == "secret"] == [key]
     assert all(private.redact(t, private.find(t, model)[1]).count("<SECRET>") == 1 for _, t in made)
-    assert all(0.5 <= r <= 1 for r in model.reliability)
+    assert all(0.5 <= r < 0.999 for r in model.reliability)
+
+
+def test_learns_what_has_no_digit(spark):
+    """A password of letters is a candidate by the name that it is assigned to; what many documents hold in its place is no secret."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    made, keys = [], []
+    for i in range(400):
+        keys.append(word(20) if i % 2 else "required")
+        made.append((i, f'{word(6)} password: "{keys[-1]}" {word(7)} in {rng.randint(1900, 2020)} page {rng.randint(1, 90)} {word(3)}{rng.randint(1, 9)}'))
+    model = private.learn(spark.createDataFrame(made, "doc_id long, text string"))
+    assert "required" in model.common
+    found = [[text[a:b] for k, a, b in private.find(text, model)[1]] for _, text in made]
+    assert sum(f == [k] for f, k in zip(found[1::2], keys[1::2])) > 190 and sum(map(len, found[::2])) < 10
+
+
+def test_tokens():
+    texts = [f"{text[a:b]}" for text in ["x1 y", 'api_key="abc def', "password : 'q w", "a key=", "time: now", "2:3"] for a, b in private.candidates(text, [])]
+    assert texts == ["x1", "abc", "q", "2:3"]
 
 
 def test_edges(spark):

@@ -30,6 +30,15 @@ def test_query(spark, sf_dir):
     assert good.kept.mean() > 0.98
 
 
+def test_rules_on_rows_they_have_not_seen(spark):
+    """Learned from the labels of half the documents and judged on the other half: most bad ones go, and few good ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.learn(docs, labels.where("doc_id % 2 = 0"))
+    judged = quality.judge(docs, rules).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").select("quality", "kept").toPandas()
+    bad, gone = judged.quality == 0, ~judged.kept
+    assert bad.sum() > 8 and (bad & gone).sum() >= 0.9 * gone.sum() and (bad & gone).sum() >= 0.7 * bad.sum()
+
+
 def test_counts_of_odd_texts():
     for text in [t for _, t, _, _ in TRICKY] + ["a b c a b c", "a a a a", "x\r\ny\n\nx\r\n", "a b\x0bc", "*|*"]:
         assert quality.measure(text)[:5] == brute(text), text
