@@ -78,6 +78,8 @@ def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+#: Texts that a task has in hand as Python objects.
+ROWS = 500
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -93,13 +95,13 @@ def columns(shape: str) -> list[tuple[str, str]]:
 def per_text(docs: DataFrame, kept: Sequence[str], compute: Callable[[list[str | None]], Sequence[Any]], shape: str) -> DataFrame:
     """The ``kept`` columns of ``docs`` and, in ``shape``, the columns that ``compute`` gives for a list of texts.
 
-    Texts alone are turned into Python objects: ids and other kept columns go
-    through as they are, with nulls and all their digits.
+    Texts alone are turned into Python objects, ``ROWS`` at a time: ids and other kept
+    columns go through as they are, with nulls and all their digits.
     """
     made = columns(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             found = compute(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(kept)], *(v if isinstance(v, pa.Array) else pa.array(v, arrow_type(t)) for v, (_, t) in zip(found, made))], names=[*kept, *(n for n, _ in made)]

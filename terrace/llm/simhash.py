@@ -208,4 +208,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = numbered.select("row", F.col(doc_id).alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "row"))["row"]
     kept = materialise(grouped.join(ids, "row").groupBy("group").agg(first.alias("row")).select("row"), "kept")
-    return restored(numbered.join(kept, "row", "left_semi"), docs)
+    return restored(numbered.hint("merge").join(kept, "row", "left_semi"), docs)
