@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import only, table
+from terrace.llm.common import ROWS, columns, only, table
 
 #: Labelled rows that the rules are fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -107,10 +108,12 @@ def measure(text: str | None) -> tuple[int, ...]:
 def counts(text: str) -> Column:
     """The struct of counts of the column ``text``."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=[c.split()[0] for c in COUNTS.split(", ")], dtype="int64")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [measure(t) for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()]
+        made = [*zip(*rows)] or [[]] * len(columns(COUNTS))
+        return pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in made], names=[n for n, _ in columns(COUNTS)])
 
-    return F.pandas_udf(run, COUNTS)(text)
+    return F.arrow_udf(run, COUNTS)(text)
 
 
 @dataclass(frozen=True)
@@ -204,11 +207,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules from ``labels`` (``doc_id, quality``); of several labels of a document the smallest counts, null ones don't."""
     of = only(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).withColumnRenamed("doc_id", "_id")
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).withColumn("f", counts("text")).where(f"not ({BASE_FAILED})")
-    sample = rows.select((F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"), "doc_id", *[F.expr(e).alias(k) for k, e in FEATURES.items()])
+    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).withColumn("f", counts("text"))
+    sample = rows.select((F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"), "doc_id", F.expr(BASE_FAILED).alias("failed"), *[F.expr(e).alias(k) for k, e in FEATURES.items()])
     # Rows of repeated ids may be more than the labels; the first ones by hash and features are the same at every run.
     first = sample.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(SAMPLE_ROWS)
-    return fit(first.toPandas().sort_values(["doc_id", *FEATURES]).reset_index(drop=True))
+    found = first.toPandas()
+    return fit(found[~found["failed"]].sort_values(["doc_id", *FEATURES]).reset_index(drop=True))
 
 
 def verdict(rules: list[Rule]) -> Column:
