@@ -16,7 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import cache
+from functools import cache, cached_property
 from hashlib import sha256
 from itertools import chain
 
@@ -76,8 +76,7 @@ class ForcedBoundaryBPE:
     """Encoder for a ``tokenizers`` BPE file with a byte-level alphabet and a word-end suffix."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -88,7 +87,6 @@ class ForcedBoundaryBPE:
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.inside = {pair for t in self.vocab for pair in self._pairs(t)}
         self.symbols = byte_symbols()
-        self.library = Tokenizer.from_file(path)
         simple, letters = _simple_chars()
         numbers = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
         space = "\\x09-\\x0d\\x20\\x85\\xa0"
@@ -98,6 +96,13 @@ class ForcedBoundaryBPE:
         self.known = Known(self.encode_word)
         self.decimal = {i: str(i) for i in self.tokens}
 
+    @cached_property
+    def library(self):
+        """For texts whose normal form needs tables; made when the first one comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _pairs(self, token: str) -> list[tuple[str, str]]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
             body = [*token[: -len(self.suffix)]]

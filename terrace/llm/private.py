@@ -28,10 +28,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import only, per_text, table
+from terrace.llm.common import ROWS, only, per_text, table
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -338,8 +339,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     classifier = learn(docs)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, find(t, classifier)[1]) if isinstance(t, str) and (DIGIT.search(t) or AROUND.search(t)) else t for t in texts], dtype=object)
+    def clean_text(t: str | None) -> str | None:
+        return redact(t, find(t, classifier)[1]) if t and (DIGIT.search(t) or AROUND.search(t)) else t
 
-    clean = docs.withColumn("text", F.pandas_udf(run, "string")("text"))
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([clean_text(t) for t in texts.slice(i, ROWS).to_pylist()], pa.string()) for i in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(parts or [pa.array([], pa.string())])
+
+    clean = docs.withColumn("text", F.arrow_udf(run, "string")("text"))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
