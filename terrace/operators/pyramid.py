@@ -1,8 +1,8 @@
 """Pyramids: a grid and its coarser levels, planned on the driver and computed as one chain.
 
 Level ``n`` reduces level ``n - 1``.  Cells are dealt to tasks once, by the tile of
-the coarsest level that they fall into, and each level's aggregation keeps the tile
-in its keys: every level then finds its cells already together, so that a chain of
+the coarsest level that they fall into (and by the other dimensions, of which each
+index is a grid of its own), and each level's aggregation keeps the tile in its keys: every level then finds its cells already together, so that a chain of
 aggregations has one shuffle.
 """
 
@@ -106,7 +106,7 @@ class Pyramid:
             for level in range(1, last + 1):
                 out.append(self.reduce_step(out[-1], dims, level))
             return out
-        tile, done = 0, 0
+        tile, done, others = 0, 0, [d for d in dims if d not in (self.y_dim, self.x_dim)]
         for level in range(1, last + 1):
             if level > done:  # deal the cells out for as many levels as a tile spans
                 tile = next((i for i in range(last, level - 1, -1) if self.factors[i] // self.factors[level - 1] <= TILE), level)
@@ -114,7 +114,7 @@ class Pyramid:
                 keys = [F.expr(f"cast(`{d}` div {side} as int)").alias(f"tile_{d}") for d in (self.y_dim, self.x_dim)]
                 df = df.select(*dims, *names, *keys)
                 if done > level:
-                    df = df.repartition("tile_" + self.y_dim, "tile_" + self.x_dim)
+                    df = df.repartition("tile_" + self.y_dim, "tile_" + self.x_dim, *others)
             df = self.reduce_step(df, dims, level, ["tile_" + self.y_dim, "tile_" + self.x_dim])
             out.append(df.select(*dims, *names))
         return out

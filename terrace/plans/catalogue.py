@@ -19,7 +19,7 @@ from terrace.operators.pyramid import create_pyramid
 from terrace.plans.layout import encoding_frame, recommend_encoding, region_grid
 from terrace.plans.metadata import LayerHint, attach_metadata, coordinate_spacing, layout_frame
 from terrace.plans.raster import Coordinate, Raster, densified, raster
-from terrace.sources import store
+from terrace.sources import store, zarr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -348,3 +348,31 @@ def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = create_pyramid(g1(spark, sf_dir), 2)
     v, sizes = p.source.variables[0], p.templates[1].sizes
     return store.cells(store.blocks(p.level(1), YX, sizes, v, (16, 16)), YX, v, (16, 16))
+
+
+@query("zarr_round_trip", _chain(G1, "mean", [2, 2]))
+def zarr_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All levels through sharded arrays."""
+    root, p = _root(spark), create_pyramid(g1(spark, sf_dir), 3)
+    zarr.write_pyramid(p, root)
+    levels = [zarr.read_array(spark, root, f"{n}/v").select(F.lit(n).alias("level"), *YX, "v") for n in range(3)]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+@query("zarr_append", f"WITH g AS ({G1}), a AS ({_step('g', 'max(v)')}) SELECT y, x, v FROM ({_step('a', 'max(v)')})")
+def zarr_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 2 is added to a store that holds levels 0 and 1."""
+    root, p = _root(spark), create_pyramid(g1(spark, sf_dir), 3, method="max")
+    zarr.write_pyramid(p, root, levels=[0, 1])
+    zarr.write_pyramid(p, root, levels=[2], mode="a")
+    return zarr.read_array(spark, root, "2/v").select(*YX, "v")
+
+
+@query("deep_stack", f"WITH l0 AS ({G6}), l1 AS ({_step('l0', 'max(v)', keys='t')}), l2 AS ({_step('l1', 'max(v)', keys='t')}) SELECT * FROM l2")
+def deep_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain over many small grids, which are dealt out by their own index too."""
+    events = _table(spark, sf_dir, "events")
+    cells = events.select(F.expr("event_id div 1000").alias("t"), F.expr("(event_id % 1000) div 40").alias("y"), (F.col("event_id") % 40).alias("x"), F.round(F.col("value") * 100).alias("v"))
+    n = _count(events, "event_id")
+    ds = raster(cells, ("t", "y", "x"), {"t": -(-n // 1000), "y": 25, "x": 40}, {"v": "f64"}, coords=_coords(25, 40), crs="EPSG:4326")
+    return create_pyramid(ds, 3, method="max").level(2)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrace.plans.raster import Coordinate, Raster
@@ -120,20 +120,31 @@ def layout_frame(spark: SparkSession, attrs: Mapping[str, Any]) -> DataFrame:
 
 
 def to_json(attrs: Mapping[str, Any]) -> str:
-    """JSON of nested attributes; numpy numbers and arrays become plain ones."""
+    """JSON of nested attributes; numpy numbers and arrays become plain ones, and what JSON has no number for its name."""
 
     def plain(x: Any) -> Any:
-        return x.tolist() if hasattr(x, "tolist") else x.item() if hasattr(x, "item") else str(x)
+        if isinstance(x, Mapping):
+            return {str(k): plain(v) for k, v in x.items()}
+        if isinstance(x, (list, tuple)):
+            return [plain(v) for v in x]
+        if hasattr(x, "tolist"):
+            return plain(x.tolist())
+        if isinstance(x, float) and not math.isfinite(x):
+            return "NaN" if x != x else "Infinity" if x > 0 else "-Infinity"
+        return x if x is None or isinstance(x, (bool, int, float, str)) else str(x)
 
-    return json.dumps(attrs, default=plain)
+    return json.dumps(plain(attrs))
 
 
 def coordinate_spacing(coords: DataFrame, dim: str) -> DataFrame:
-    """``dim, n, resolution, uniform`` of the values ``idx, value`` of one dimension: a table of one axis, not of cells."""
-    order = W.orderBy("idx")
-    steps = coords.where(F.col("dim") == dim).select("idx", "value", (F.col("value") - F.lag("value").over(order)).alias("step"))
-    first = F.min_by("step", F.when(F.col("idx") > 0, F.col("idx")))
-    found = steps.agg(F.count("*").alias("n"), first.alias("resolution"), F.collect_list("step").alias("steps"), F.min_by("value", "idx").alias("origin"))
-    near = F.forall("steps", lambda s: F.abs(s - F.col("resolution")) <= ABSOLUTE + RELATIVE * F.abs(F.col("resolution")))
-    return found.select(F.lit(dim).alias("dim"), "n", "resolution", "origin", near.alias("uniform"))
-
+    """``dim, n, resolution, origin, uniform`` of the values ``idx, value`` of one dimension.
+
+    Each value meets the one before by a join on the index, so that a long axis stays
+    distributed; what is gathered are its least, greatest and first step.
+    """
+    axis = coords.where(F.col("dim") == dim).select("idx", "value")
+    before = axis.select((F.col("idx") + 1).alias("idx"), F.col("value").alias("before"))
+    steps = axis.join(before, "idx", "left").withColumn("step", F.col("value") - F.col("before"))
+    found = steps.agg(F.count("*").alias("n"), F.min_by("step", F.when(F.col("step").isNotNull(), F.col("idx"))).alias("resolution"), F.min("step").alias("least"), F.max("step").alias("most"), F.min_by("value", "idx").alias("origin"))
+    near = F.greatest(F.col("most") - F.col("resolution"), F.col("resolution") - F.col("least")) <= ABSOLUTE + RELATIVE * F.abs(F.col("resolution"))
+    return found.select(F.lit(dim).alias("dim"), "n", "resolution", "origin", F.coalesce(near, F.lit(True)).alias("uniform"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.operators.pyramid import Pyramid
+from terrace.plans.metadata import to_json
 from terrace.plans.raster import Variable
 from terrace.sources.store import DTYPES, cells, chosen_levels, delete, exists
 
@@ -90,7 +91,7 @@ def write_array(df: DataFrame, root: str, path: str, dims: Sequence[str], sizes:
     base = f"{_uri(root)}/{path}"
     block = list(shards or chunks)
     fill = v.kind.coerce(v.fill) if v.fill is not None else 0
-    _put(f"{base}/zarr.json", json.dumps(array_document([sizes[d] for d in dims], v.dtype, dims, chunks, shards, _fill(v), attrs or {})).encode())
+    _put(f"{base}/zarr.json", to_json(array_document([sizes[d] for d in dims], v.dtype, dims, chunks, shards, _fill(v), attrs or {})).encode())
     names, dtype = list(dims), np.dtype(DTYPES[v.dtype])
 
     def store(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,30 +121,44 @@ def write_pyramid(pyramid: Pyramid, root: str, *, mode: str = "w", levels: Seque
         if wanted != list(range(pyramid.levels)):
             raise ValueError('mode "w" would delete the levels that are not written; use mode "a"')
         delete(spark, uri)
-    _put(f"{uri}/zarr.json", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": pyramid.attrs}, default=str).encode())
-    out = {}
-    chains = {dims: pyramid.chain(dims) for dims in pyramid._dims_groups()}
+    _put(f"{uri}/zarr.json", to_json({"zarr_format": 3, "node_type": "group", "attributes": pyramid.attrs}).encode())
+    out: dict[int, int] = {}
+    held: dict[tuple[str, ...], DataFrame] = {}
     for n in wanted:
         t = pyramid.templates[n]
-        _put(f"{uri}/{n}/zarr.json", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": t.attrs}, default=str).encode())
+        _put(f"{uri}/{n}/zarr.json", to_json({"zarr_format": 3, "node_type": "group", "attributes": t.attrs}).encode())
         for c in t.coords.values():
             values = np.array([x for x in c.values if isinstance(x, (int, float))], "<f8")
             shape = [len(values)] if c.dims else []
-            _put(f"{uri}/{n}/{c.name}/zarr.json", json.dumps(array_document(shape, "f64", c.dims, shape, None, "NaN", c.attrs)).encode())
+            _put(f"{uri}/{n}/{c.name}/zarr.json", to_json(array_document(shape, "f64", c.dims, shape, None, "NaN", c.attrs)).encode())
             _put(f"{uri}/{n}/{c.name}/c{'/0' * len(shape)}", values.tobytes())
         others = " ".join(c.name for c in t.coords.values() if c.dims != (c.name,))
-        out[n] = 0
-        for dims, variables in pyramid._dims_groups().items():
-            frame = chains[dims][n].persist()
+        groups = pyramid._dims_groups()
+        out[n] = sum(_write_whole(df, uri, f"{n}/{v.name}", v, t.sizes) for dims, df in pyramid.source.frames.items() if dims and dims not in groups for v in pyramid.source.variables if v.dims == dims)
+        for dims, variables in groups.items():
+            # From the level before, if that was just written: the source is read once.
+            below = held.get(dims) if n - 1 in out else None
+            frame = (pyramid.chain(dims, n)[n] if below is None else pyramid.reduce_step(below, dims, n)).persist()
             for v in variables:
-                if n and exists(spark, f"{uri}/{n}/{v.name}"):
+                if exists(spark, f"{uri}/{n}/{v.name}"):
                     delete(spark, f"{uri}/{n}/{v.name}")
                 e = pyramid.encoding[f"/{n}"][v.name]
                 out[n] += write_array(frame, root, f"{n}/{v.name}", dims, t.sizes, v, e["chunks"], e.get("shards"), {**v.attrs, **({"coordinates": others} if others else {})})
-            frame.unpersist()
+            if previous := held.pop(dims, None):
+                previous.unpersist()
+            held[dims] = frame
+    for frame in held.values():
+        frame.unpersist()
     return out
 
 
+def _write_whole(df: DataFrame, uri: str, path: str, v: Variable, sizes: dict[str, int]) -> int:
+    """A variable that isn't coarsened, as an array of one chunk, put there anew."""
+    if exists(df.sparkSession, f"{uri}/{path}"):
+        delete(df.sparkSession, f"{uri}/{path}")
+    return write_array(df, uri, path, v.dims, sizes, v, [sizes[d] for d in v.dims], None, v.attrs)
+
+
 def read_document(spark: SparkSession, root: str, path: str = "") -> dict[str, Any]:
     """A group's or array's ``zarr.json``."""
     return json.loads(spark.read.text(f"{_uri(root)}/{path.strip('/')}/zarr.json".replace("//zarr", "/zarr"), wholetext=True).first()[0])
@@ -159,6 +174,9 @@ def read_array(spark: SparkSession, root: str, path: str) -> DataFrame:
     dtype = {n: t for t, n in NAMES.items()}[doc["data_type"]]
     fill = float("nan") if doc["fill_value"] == "NaN" else doc["fill_value"]
     chunks = codec["configuration"]["chunk_shape"] if codec["name"] == "sharding_indexed" else None
+    if not exists(spark, f"{_uri(root)}/{path}/c"):  # nothing but missing cells
+        kind = Variable(name, tuple(dims), dtype).kind.spark
+        return spark.createDataFrame([], ", ".join(f"`{d}` int" for d in dims) + f", `{name}` {kind}")
     objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{_uri(root)}/{path}/c").select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

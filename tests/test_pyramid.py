@@ -57,6 +57,22 @@ def test_plan_checks():
         spacing([0, 1, 3], "x")
 
 
+def test_a_deep_stack_is_dealt_out(spark):
+    """Many small grids: the chain has one exchange, and a grid's own index deals it out."""
+    cells = spark.range(64 * 8 * 8).selectExpr("cast(id div 64 as int) t", "cast(id % 64 div 8 as int) y", "cast(id % 8 as int) x", "cast(id as double) v")
+    ds = raster(cells, ("t", *YX), {"t": 64, "y": 8, "x": 8}, {"v": "f64"}, coords=coords(8, 8), crs="EPSG:4326")
+    df = create_pyramid(ds, 3).level(2)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        from pyspark.sql import functions as F
+
+        assert df.groupBy(F.spark_partition_id()).count().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_one_shuffle_for_a_chain(spark):
     p = create_pyramid(make(spark, 64, 64), 4)
     assert p.level(3)._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1

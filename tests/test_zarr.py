@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from terrace import create_pyramid
+from terrace.plans.raster import raster
 from terrace.sources import zarr
 from tests.test_pyramid import YX, make, rows
 
@@ -30,6 +31,35 @@ def test_shards_skip_what_is_missing():
     assert zarr.pack_shard(np.full((2, 2), -9), (2, 2), -9) is None
 
 
+def test_rewriting_leaves_no_stale_cells(spark, tmp_path):
+    """Shards that are wholly missing now are gone, at level 0 too; an array without cells reads as none."""
+    from pyspark.sql import functions as F
+
+    root, ds = f"{tmp_path}/z", make(spark, 300, 150)
+    zarr.write_pyramid(create_pyramid(ds, 2, target_chunk_bytes=8192), root)
+    gone = raster(ds.frames[YX].where("y > 500"), YX, ds.sizes, {"v": "f64"}, coords=ds.coords, crs="EPSG:4326")
+    zarr.write_pyramid(create_pyramid(gone, 2, target_chunk_bytes=8192), root, levels=[0], mode="a")
+    assert zarr.read_array(spark, root, "0/v").count() == 0 and zarr.read_array(spark, root, "0/v").columns == ["y", "x", "v"]
+    some = raster(ds.frames[YX].withColumn("v", F.when(F.col("y") < 20, F.col("v"))), YX, ds.sizes, {"v": "f64"}, coords=ds.coords, crs="EPSG:4326", attrs={"scale": np.float32(1.5), "odd": float("nan")})
+    zarr.write_pyramid(create_pyramid(some, 2, target_chunk_bytes=8192), root, levels=[0], mode="a")
+    assert zarr.read_array(spark, root, "0/v").where("v = v and not isnan(v)").count() == 20 * 150
+    assert json.loads((tmp_path / "z/0/zarr.json").read_text())["attributes"] == {"scale": 1.5, "odd": "NaN"}
+
+
+def test_variables_off_the_grid(spark, tmp_path):
+    """A variable without spatial dimensions is an array in every level."""
+    from dataclasses import replace
+
+    from terrace.plans.raster import Variable
+
+    ds, root = make(spark, 16, 16), f"{tmp_path}/z"
+    extra = spark.createDataFrame([(i, i * 1.5) for i in range(4)], "band int, weight double")
+    ds = replace(ds, sizes={**ds.sizes, "band": 4}, variables=(*ds.variables, Variable("weight", ("band",), "f64")), frames={**ds.frames, ("band",): extra})
+    zarr.write_pyramid(create_pyramid(ds, 2), root)
+    for n in range(2):
+        assert rows(zarr.read_array(spark, root, f"{n}/weight")) == [(i, i * 1.5) for i in range(4)]
+
+
 def test_guards(spark, tmp_path):
     p, root = create_pyramid(make(spark), 2), f"{tmp_path}/z"
     zarr.write_pyramid(p, root, levels=[0])
