@@ -7,14 +7,20 @@ priority queue holds the nodes not yet opened by their distance, and leaves are
 visited in the order in which they come out.  How many is calibrated on the sample:
 visits are widened until the neighbours found there reach ``RECALL``.
 
+Leaves grow in number with the table: one with over ``FULL`` rows becomes a tree of
+its own, fitted on at most about ``SAMPLE`` of its rows, until there are ``LEAVES``,
+so the tree that every task gets is bounded.
+
 Leaves are gathered into groups of about ``PART`` rows, fuller ones spread over
-several, and queries into packs of about ``PACK``; each group and pack meet in one
-task, which scores them by one matrix product and keeps what lies in leaves visited.
+several.  Each row goes to one group, and each query to the groups it visits; a
+task holds a group's rows while the queries stream by, ``PACK`` at a time, scores
+them by a matrix product and keeps what lies in leaves visited.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +34,9 @@ from terrace.llm.common import materialise, table
 
 SAMPLE, BRANCHES, LEAF, TURNS = 16_000, 8, 256, 12
 RECALL, CALIBRATION = 0.985, 400
-PART, PACK = 2_000, 2_000
+PART, PACK = 2_000, 1_000
+#: Rows of a leaf that is refined, and leaves beyond which none is.
+FULL, LEAVES = 8_000, 65_536
 
 
 @dataclass
@@ -78,15 +86,15 @@ def _kmeans(vs: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
-def fit(vs: np.ndarray, seed: int = 0) -> Tree:
-    """A tree over unit vectors; a node whose rows can't be told apart stays a leaf."""
+def fit(vs: np.ndarray, seed: int = 0, most: int = 0) -> Tree:
+    """A tree over unit vectors with at most ``most`` (``LEAF``) in a leaf; a node whose rows can't be told apart stays a leaf."""
     rng = np.random.default_rng(seed)
     tree = Tree(np.zeros((1, vs.shape[1])), [[]], [-1])
     centres, leaves, todo = [np.zeros(vs.shape[1])], 0, [(0, vs)]
     while todo:
         node, rows = todo.pop()
         parts = []
-        if len(rows) > LEAF and len(distinct := np.unique(rows, axis=0)) > 1:
+        if len(rows) > (most or LEAF) and len(distinct := np.unique(rows, axis=0)) > 1:
             found = _kmeans(distinct, min(BRANCHES, len(distinct)), rng)
             near = (rows @ found.T * 2 - (found**2).sum(1)).argmax(1)
             parts = [(found[i], rows[near == i]) for i in range(len(found)) if (near == i).any()]
@@ -103,6 +111,21 @@ def fit(vs: np.ndarray, seed: int = 0) -> Tree:
     return tree
 
 
+def grafted(tree: Tree, below: dict[int, Tree]) -> Tree:
+    """The tree with some leaves replaced by trees; a replaced leaf's number passes to one of the new leaves."""
+    centres, children, leaf, count = [*tree.centre], [[*c] for c in tree.children], [*tree.leaf], tree.leaves
+    at = {n: node for node, n in enumerate(tree.leaf) if n >= 0}
+    for number in sorted(below):
+        sub, node, start = below[number], at[number], len(centres) - 1  # node i > 0 of the new tree becomes start + i
+        for i in range(1, len(sub.leaf)):
+            centres.append(sub.centre[i])
+            children.append([start + c for c in sub.children[i]])
+            leaf.append(-1 if sub.leaf[i] < 0 else number if sub.leaf[i] == 0 else count + sub.leaf[i] - 1)
+        children[node], leaf[node] = [start + c for c in sub.children[0]], -1
+        count += sub.leaves - 1
+    return Tree(np.array(centres), children, leaf)
+
+
 def calibrate(tree: Tree, vs: np.ndarray, k: int, seed: int = 0) -> int:
     """The number of leaves to visit so that queries from the sample find ``RECALL`` of their ``k`` neighbours in it."""
     if len(vs) <= k + 1:
@@ -148,6 +171,79 @@ def _unit(vs: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _placer(held, width: int):
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep, vs = _matrix(pdf["v"], width)
+            if len(keep):
+                yield pdf.iloc[keep].assign(leaf=held.value.descend(_unit(vs)))
+
+    return place
+
+
+def _refined(indexed: DataFrame, full: dict[int, int], width: int) -> dict[int, Tree]:
+    """Trees for the leaves in ``full`` (leaf to its rows), each fitted on about ``SAMPLE`` of its rows at most; none for a leaf whose rows can't be told apart."""
+
+    most = LEAF
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = fit(_unit(np.array(pdf.sort_values("vec_id")["v"].tolist())), most=most)
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1].values, "tree": [pickle.dumps(tree)]})
+
+    spark = indexed.sparkSession
+    shares = spark.createDataFrame([(leaf, min(1.0, SAMPLE / n)) for leaf, n in full.items()], "leaf long, share double")
+    chosen = indexed.join(F.broadcast(shares), "leaf").where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    grown = chosen.select("leaf", "vec_id", "v").groupBy("leaf").applyInPandas(grow, "leaf long, tree binary").collect()
+    trees = {r.leaf: pickle.loads(r.tree) for r in grown}
+    return {leaf: t for leaf, t in trees.items() if t.leaves > 1}
+
+
+def _scorer(k: int):
+    """Of rows in the order of group, index rows before queries: the best of a group for each query that visits it."""
+
+    def score(index: list[pd.DataFrame], queries: pd.DataFrame) -> list[tuple[int, int, float]]:
+        rows = pd.concat(index) if len(index) > 1 else index[0]
+        index[:] = [rows]
+        vs, ids, asked = np.array(rows["v"].tolist()), rows["vec_id"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
+        qs = np.array(queries["v"].tolist())
+        with np.errstate(over="ignore", under="ignore"):
+            norms, owns = np.sqrt((vs * vs).sum(1)), np.sqrt((qs * qs).sum(1))
+        fine = np.isfinite(norms) & (norms > 1e-150)
+        rough = _unit(qs) @ _unit(vs).T
+        leaves, leaf = np.unique(rows["leaf"].to_numpy(np.int64), return_inverse=True)
+        visited = np.array([np.isin(leaves, seen) for seen in queries["seen"]])
+        rough[~visited[:, leaf] | (ids == asked[:, None])] = -3
+        least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(asked), -2.0)
+        out = []
+        for i, q in enumerate(asked.tolist()):
+            near = np.flatnonzero(rough[i] >= max(least[i] - 1e-9, -2))
+            with np.errstate(all="ignore"):
+                exact = (vs[near] * qs[i]).sum(1) / (norms[near] * owns[i])
+            # Where squares leave the range of doubles, the scaled vectors' product stands.
+            exact = np.where(fine[near] & np.isfinite(owns[i]) & (owns[i] > 1e-150) & np.isfinite(exact), exact, rough[i, near])
+            best = np.lexsort((ids[near], -exact))[:k]
+            out += zip([q] * len(best), ids[near][best].tolist(), exact[best].tolist())
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, index = None, []
+        for pdf in batches:
+            at, asks = pdf["group"].to_numpy(np.int64), pdf["leaf"].to_numpy(np.int64) < 0
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(at)]
+            out: list[tuple[int, int, float]] = []
+            for a, b in zip(edges, edges[1:]):
+                if at[a] != group:
+                    group, index = at[a], []
+                if not asks[a]:
+                    index.append(pdf.iloc[a:b])
+                elif index:
+                    for i in range(a, b, PACK):
+                        out += score(index, pdf.iloc[i : min(b, i + PACK)])
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score`` from ``vec_id, embedding``: for each query row the nearest other rows found, by cosine.
 
@@ -155,7 +251,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     components, take no part, nor do vectors of another length than most usable ones
     have (of equally common lengths, the greatest); rows with the query's id count as
     its own.  Fewer than ``k`` come back only where there are fewer; equal scores go
-    by smaller id; an empty table gives an empty one.
+    by smaller id; other columns are ignored; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where("vec_id is not null")
@@ -170,18 +266,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return none
     unit = _unit(sample)
     tree = fit(unit)
+    while True:
+        held = spark.sparkContext.broadcast(tree)
+        indexed = materialise(rows.mapInPandas(_placer(held, width), "vec_id long, v array<double>, asked boolean, leaf long"), "indexed")
+        # One number for each leaf, of which there are at most LEAVES and the children of one.
+        filled = dict(indexed.groupBy("leaf").count().collect())
+        full = {leaf: n for leaf, n in filled.items() if n > FULL}
+        below = _refined(indexed, full, width) if full and tree.leaves < LEAVES else {}
+        if not below:
+            break
+        tree = grafted(tree, below)
     visits = calibrate(tree, unit, k)
-    held = spark.sparkContext.broadcast(tree)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep, vs = _matrix(pdf["v"], width)
-            if len(keep):
-                yield pdf.iloc[keep].assign(leaf=held.value.descend(_unit(vs)))
-
-    indexed = materialise(rows.mapInPandas(place, "vec_id long, v array<double>, asked boolean, leaf long"), "indexed")
-    # One number for each leaf of the tree.
-    filled = dict(indexed.groupBy("leaf").count().collect())
 
     # Leaves in order fill groups of about PART rows; a fuller leaf spreads over several.
     span, at, room = {}, 0, PART
@@ -191,52 +286,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             at, room = at + 1, PART
         span[leaf] = (at, parts)
         at, room = (at + parts - 1, room - filled[leaf]) if parts == 1 else (at + parts, PART)
-    packs = max(1, -(-indexed.where("asked").count() // PACK))
-
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for q, v in zip(pdf["vec_id"], pdf["v"]):
                 seen = held.value.order(_unit(np.array([v]))[0], lambda out: len(out) >= visits and sum(filled.get(x, 0) for x in out) > k + 1)
                 groups = sorted({g for x in seen if x in span for g in range(span[x][0], span[x][0] + span[x][1])})
-                yield pd.DataFrame({"query_id": q, "q": [v] * len(groups), "seen": [seen] * len(groups), "group": groups})
+                yield pd.DataFrame({"vec_id": q, "v": [v] * len(groups), "leaf": -1, "seen": [seen] * len(groups), "group": groups})
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             first, parts = (np.array([span[x][i] for x in pdf["leaf"]], np.int64) for i in (0, 1))
             mixed = pdf["vec_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            pdf = pdf.assign(group=first + mixed.astype(np.int64) % parts)
-            for pack in range(packs):
-                yield pdf.assign(pack=pack)
-
-    def meet(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(index) or not len(queries):
-            return none
-        vs, ids, asked = np.array(index["v"].tolist()), index["vec_id"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64)
-        qs = np.array(queries["q"].tolist())
-        with np.errstate(over="ignore", under="ignore"):
-            norms, owns = np.sqrt((vs * vs).sum(1)), np.sqrt((qs * qs).sum(1))
-        plain = np.isfinite(norms) & (norms > 1e-150)
-        rough = _unit(qs) @ _unit(vs).T
-        leaves, leaf = np.unique(index["leaf"].to_numpy(np.int64), return_inverse=True)
-        visited = np.array([np.isin(leaves, seen) for seen in queries["seen"]])
-        rough[~visited[:, leaf] | (ids == asked[:, None])] = -3
-        least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(asked), -2.0)
-        out = []
-        for i, q in enumerate(asked.tolist()):
-            near = np.flatnonzero(rough[i] >= max(least[i] - 1e-9, -2))
-            with np.errstate(all="ignore"):
-                score = (vs[near] * qs[i]).sum(1) / (norms[near] * owns[i])
-            # Where squares leave the range of doubles, the scaled vectors' product stands.
-            score = np.where(plain[near] & np.isfinite(owns[i]) & (owns[i] > 1e-150) & np.isfinite(score), score, rough[i, near])
-            best = np.lexsort((ids[near], -score))[:k]
-            out += zip([q] * len(best), ids[near][best].tolist(), score[best].tolist())
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    cells = ["group", "pack"]
-    left = indexed.select("vec_id", "v", "leaf").mapInPandas(deal, "vec_id long, v array<double>, leaf long, group long, pack long")
-    right = indexed.where("asked").select("vec_id", "v").mapInPandas(walk, "query_id long, q array<double>, seen array<long>, group long").withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)))
-    found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(meet, "query_id long, vec_id long, score double")
+            yield pdf.assign(seen=None, group=first + mixed.astype(np.int64) % parts)
+
+    shape = "vec_id long, v array<double>, leaf long, seen array<long>, group long"
+    left = indexed.select("vec_id", "v", "leaf").mapInPandas(deal, shape)
+    right = indexed.where("asked").select("vec_id", "v").mapInPandas(walk, shape)
+    met = left.unionByName(right).repartition("group").sortWithinPartitions("group", F.col("leaf") < 0)
+    found = met.mapInPandas(_scorer(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -49,3 +49,22 @@ def test_rows_of_another_length(spark):
     search = lambda rows: sorted(map(tuple, neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 5 == 0).collect()))
     want = search(good)
     assert len(want) == 50 and search(odd + good) == search(good[:20] + odd + good[20:]) == want
+
+
+def test_leaves_grow_with_the_table(spark, monkeypatch):
+    """Clustered vectors, small leaves and groups: the tree is refined, few leaves are visited, rows are dealt once, and recall holds."""
+    for name, value in (("SAMPLE", 400), ("LEAF", 40), ("FULL", 60), ("PART", 50), ("PACK", 7)):
+        monkeypatch.setattr(neighbours, name, value)
+    grafts, visits = [], []
+    monkeypatch.setattr(neighbours, "grafted", lambda t, b, f=neighbours.grafted: grafts.append(f(t, b)) or grafts[-1])
+    monkeypatch.setattr(neighbours, "calibrate", lambda t, v, k, f=neighbours.calibrate: visits.append((f(t, v, k), t.leaves)) or visits[-1][0])
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16)) * 4
+    vs = centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 50 == 0).toPandas()
+    hit = sum(len({i for i, _ in brute(list(range(3000)), vs, q, 5)} & set(got[got.query_id == q].vec_id)) for q in range(0, 3000, 50))
+    assert len(got) == 300 and hit >= 0.9 * 300
+    assert grafts and visits[0][1] == grafts[-1].leaves > 40 and visits[0][0] < 0.5 * visits[0][1]
+    tree = grafts[-1]
+    assert sorted(n for n in tree.leaf if n >= 0) == list(range(tree.leaves))
