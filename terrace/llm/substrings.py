@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -29,6 +28,8 @@ from terrace.llm import windows
 from terrace.llm.common import table
 
 WINDOW, GRAM, PIECE, HOT = 20, 8, 2, 256
+#: Different segments whose automaton a task builds in one piece.
+SHARD = 1000
 
 
 def word_units(text: str) -> tuple[list[bytes], np.ndarray]:
@@ -126,45 +127,75 @@ def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns)
 
 
+def split(shard: list[tuple[int, int, int, int, list[bytes]]], length: int, piece: int) -> Iterator[list[tuple[int, int, int, list[bytes]]]]:
+    """A shard of very many segments as small ones: windows whose anchors lie at about the same offset, by the words that all of them hold.
+
+    Equal windows have equal anchors at equal offsets, so they stay together.
+    """
+    parts: dict[tuple[int, tuple[bytes, ...]], list[tuple[int, int, int, list[bytes]]]] = {}
+    for doc, first, count, offset, words in shard:
+        for g in range((offset - count + 1) // piece, offset // piece + 1):
+            near, far = g * piece, g * piece + piece - 1
+            lo, hi = max(0, offset - far), min(count - 1, offset - near)
+            own = words[lo : hi + length]
+            core = tuple(words[offset - near : offset - far + length])
+            parts.setdefault((g, core), []).append((doc, first + lo, hi - lo + 1, own))
+    yield from parts.values()
+
+
 def removals(texts: DataFrame, found: DataFrame, hot: np.ndarray, spec: windows.Spec = SPEC) -> DataFrame:
     """``doc, first, count``: ranges of windows that also start earlier."""
-    columns = ["key", "doc", "first", "count", "data"]
+    columns, shape = ["key", "doc", "first", "count", "offset", "data"], ["doc", "first", "count"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for seen in windows.flushed(pdf, spec, hot):
                 rows = []
-                for (key, data, _, count), places in seen.items():
-                    rows.append((key, *places[0], count, data))
-                    rows += [(d ^ f << 32, d, f, count, None) for d, f in places[1:]]
+                for (key, data, offset, count), places in seen.items():
+                    rows.append((key, *places[0], count, offset, data))
+                    rows += [(d ^ f << 32, d, f, count, 0, None) for d, f in places[1:]]
                 for i in range(0, len(rows), windows.ROWS):
                     yield _frame(rows[i : i + windows.ROWS], columns)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
+        # Equal segments become one as they come: the earliest stays, and all windows of the others are known to be repeated.
+        shards: dict[int, dict[bytes, tuple[int, int, int, int]]] = {}
         for pdf in batches:
             known = pdf["data"].isna()
-            if known.any():
-                yield pdf.loc[known, ["doc", "first", "count"]]
-            held += pdf[~known].itertuples(index=False, name=None)
-        held.sort(key=lambda r: r[:3])
+            out = []
+            for key, doc, first, count, offset, data in pdf[~known].itertuples(index=False, name=None):
+                shard = shards.setdefault(key, {})
+                new, old = (doc, first, count, offset), shard.get(data)
+                if old is None or new < old:
+                    shard[data] = new
+                if old is not None:
+                    out.append(max(old, new)[:3])
+            yield pd.concat([pdf.loc[known, shape], _frame(out, shape)]) if out else pdf.loc[known, shape]
         out = []
-        for _, rows in groupby(held, key=lambda r: r[0]):
-            out += repeats([(doc, first, count, data.split(b" ")) for _, doc, first, count, data in rows], spec.length)
+        for key in [*shards]:
+            shard = sorted((*place, data.split(b" ")) for data, place in shards.pop(key).items())
+            if len(shard) > SHARD:
+                parts = split(shard, spec.length, spec.piece)
+            else:
+                parts = [[(doc, first, count, words) for doc, first, count, _, words in shard]] if len(shard) > 1 else []
+            for part in parts:
+                out += repeats(part, spec.length)
             if len(out) >= windows.ROWS:
-                yield _frame(out, ["doc", "first", "count"])
+                yield _frame(out, shape)
                 out = []
-        yield _frame(out, ["doc", "first", "count"])
+        yield _frame(out, shape)
 
-    sent = windows.with_candidates(texts, found).mapInPandas(cut, "key long, doc long, first int, count int, data binary").repartition("key")
+    sent = windows.with_candidates(texts, found).mapInPandas(cut, "key long, doc long, first int, count int, offset int, data binary").repartition("key")
     return sent.mapInPandas(match, "doc long, first int, count int")
 
 
 def deduplicate(docs: DataFrame, keep_text: bool = True, spec: windows.Spec = SPEC) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and, if wanted, ``kept`` (the words left, joined by one blank) and ``removed`` (spans of word numbers, end exclusive).
 
-    A null text has no words; texts shorter than a window lose nothing; of equal
-    rows the later ones count as later documents; an empty table gives an empty one.
+    A null text has no words; texts shorter than a window lose nothing; a very long
+    one is searched whole; of equal rows the later ones count as later documents, and
+    rows without an id as the first; other columns are ignored; an empty table gives
+    an empty one.
     """
     rows = windows.numbered(docs)
     found, hot = windows.candidates(rows, spec)

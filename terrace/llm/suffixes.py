@@ -225,8 +225,10 @@ def removals(texts: DataFrame, found: DataFrame, hot: np.ndarray, spec: windows.
 def deduplicate(docs: DataFrame, keep_text: bool = True, spec: windows.Spec = SPEC) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if wanted, ``kept`` (binary, as a cut may split a character) and ``removed`` (byte spans, end exclusive).
 
-    A null text counts as empty; texts shorter than a window lose nothing; of equal
-    rows the later ones count as later documents; an empty table gives an empty one.
+    A null text counts as empty; texts shorter than a window lose nothing; a very long
+    one is searched whole; of equal rows the later ones count as later documents, and
+    rows without an id as the first; other columns are ignored; an empty table gives
+    an empty one.
     """
     rows = windows.numbered(docs)
     found, hot = windows.candidates(rows, spec)

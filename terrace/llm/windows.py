@@ -32,8 +32,6 @@ from terrace.llm.common import arrow_type, columns, materialise, only, shuffle_p
 UNITS, FLUSH = 1 << 20, 8 << 20
 #: Rows of a frame that a task hands on.
 ROWS = 100_000
-#: Hot anchors of a partition, at most.
-HOT_IN_PARTITION = 64
 
 
 @dataclass(frozen=True)
@@ -44,7 +42,7 @@ class Spec:
     gram: int
     #: Windows of a segment that share a shard where the anchor is hot.
     piece: int
-    #: An anchor is hot in its partition if it has more occurrences than this, and than one in ``share`` of the partition's rows.
+    #: An anchor is hot in its partition if it has more occurrences than this, and than one in ``share`` of the partition's.
     hot: int
     #: A text's units, as a sequence that slices, and their hashes.
     units: Callable[[str], tuple[object, np.ndarray]]
@@ -151,13 +149,12 @@ def candidates(rows: DataFrame, spec: Spec) -> tuple[DataFrame, np.ndarray]:
         out = pd.DataFrame({"doc": doc[several], "pos": pos[several]})
         for i in range(0, len(out), ROWS):
             yield out.iloc[i : i + ROWS].assign(hot=None).astype({"hot": "Int64"})
-        hot = np.flatnonzero(total > max(spec.hot, len(key) // spec.share))
-        hot = hot[np.argsort(-total[hot], kind="stable")][:HOT_IN_PARTITION]
+        hot = np.flatnonzero(total > max(spec.hot, int(n.sum()) // spec.share))  # fewer than spec.share
         yield pd.DataFrame({"doc": np.full(len(hot), -1), "pos": np.full(len(hot), -1, np.int32), "hot": pd.array(key[first[hot]], "Int64")})
 
     sent = rows.select("_doc", "text").mapInPandas(emit, "key long, doc long, pos int, n int").repartition("key")
     met = materialise(sent.mapInPandas(meet, "doc long, pos int, hot long"), "repeated-anchors")
-    # At most HOT_IN_PARTITION of each partition.
+    # Fewer than spec.share of each partition.
     hot = met.where("hot is not null").select("hot").toPandas()["hot"].to_numpy(np.int64)
     return met.where("hot is null").select("doc", "pos"), np.sort(hot)
 

@@ -75,6 +75,26 @@ def test_one_common_phrase_in_many_contexts(spark):
     assert substrings.deduplicate(docs, False).where("n_removed > 0").count() == 0
 
 
+def test_full_shards_are_split(spark, sf_dir, monkeypatch):
+    """A shard with more segments than a task should build one automaton of gives the same windows in parts."""
+    docs = documents(spark, sf_dir)
+    rng = random.Random(6)
+    words = lambda: [f"w{rng.randrange(3)}" for _ in range(rng.randint(0, 12))]
+    made = [words() + [f"a{i}" for i in range(10)] + words() for _ in range(300)]
+    shard = {}
+    for i, w in enumerate(made):
+        at = next(j for j, x in enumerate(w) if x == "a0")
+        length = 14
+        first, last = max(0, at + 10 - length), min(at, len(w) - length)
+        if first <= last:
+            shard.setdefault(tuple(w[first : last + length]), (i, first, last - first + 1, at - first, w[first : last + length]))
+    shard = sorted(shard.values())
+    whole = {(d, f + k) for d, f, n in substrings.repeats([(d, f, n, w) for d, f, n, _, w in shard], 14) for k in range(n)}
+    parts = {(d, f + k) for part in substrings.split(shard, 14, 2) for d, f, n in substrings.repeats(part, 14) for k in range(n)}
+    assert whole == parts and len(whole) > 50
+    assert rows(substrings.deduplicate(docs, False)) == sorted(((k, *v) for k, v in brute(docs, substrings).items()), key=repr)
+
+
 def test_automaton():
     rng = random.Random(2)
     for _ in range(200):
