@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.reduce import missing
@@ -57,11 +59,22 @@ def nonempty(df: DataFrame, dims: Sequence[str], region: Sequence[int], variable
     return df.groupBy(*keys).agg(F.count_if(present).alias("present")).where("present > 0")
 
 
+def by_region(df: DataFrame, dims: Sequence[str], region: Sequence[int], variables: Sequence[Variable] = ()) -> DataFrame:
+    """Cells dealt out by region and in its order, so that statistics of row groups let a window skip the others'.
+
+    If variables are named, regions in which all of them are missing are left out, in the same exchange and sort.
+    """
+    blocks = {f"_{d}_block": F.expr(f"cast(`{d}` div {r} as int)") for d, r in zip(dims, region)}
+    dealt = df.withColumns(blocks).repartition(*blocks).sortWithinPartitions(*blocks, *dims)
+    if variables:
+        present = [~missing(F.col(v.name), v.kind, v.fill) for v in variables]
+        dealt = dealt.withColumn("_present", F.bool_or(reduce(or_, present)).over(Window.partitionBy(*blocks))).where("_present")
+    return dealt.select(*df.columns)
+
+
 def without_empty(df: DataFrame, dims: Sequence[str], region: Sequence[int], variables: Sequence[Variable]) -> DataFrame:
     """Cells of regions that aren't wholly missing; a reader takes absent cells as missing."""
-    blocks = nonempty(df, dims, region, variables).drop("present")
-    keyed = df.withColumns({f"{d}_block": F.expr(f"cast(`{d}` div {r} as int)") for d, r in zip(dims, region)})
-    return keyed.join(blocks, [f"{d}_block" for d in dims], "left_semi").select(*df.columns)
+    return by_region(df, dims, region, variables)
 
 
 def write(pyramid: Pyramid, root: str, *, mode: str = "w", levels: Sequence[int] | None = None, keep_levels_in_memory: bool | None = None, skip_empty: bool = True, stats: bool = False, on_level: Any = None) -> dict[int, dict] | None:
@@ -110,7 +123,7 @@ def write(pyramid: Pyramid, root: str, *, mode: str = "w", levels: Sequence[int]
             regions += sum(pyramid.region_count(n, v.name) for v in variables)
             # Absent windows would be 0 rather than missing in a sum.
             sparse = skip_empty and pyramid.method != "sum"
-            put = without_empty(df, dims, region, variables) if sparse else df
+            put = by_region(df, dims, region, variables if sparse else ())
             seen = Observation(f"level-{n}-{'-'.join(dims)}-{time.time_ns()}")
             put.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(cells_path(root, dims, n))
             rows += seen.get["rows"]

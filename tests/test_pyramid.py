@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrace import Coordinate, LayerHint, attach_metadata, create_pyramid, recommend_encoding
 from terrace.operators.pyramid import resolve_factors
@@ -120,6 +121,19 @@ def test_store_guards(spark, tmp_path):
         store.write(p, f"{tmp_path}/other")
 
 
+@pytest.mark.parametrize("variables", [False, True])
+def test_regions_stay_together(spark, variables):
+    ds = make(spark, 13, 15)
+    df = store.by_region(ds.frames[YX].repartition(5), YX, (4, 4), ds.variables if variables else ())
+    plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    placed = df.select(F.spark_partition_id().alias("p"), F.expr("y div 4"), F.expr("x div 4"), "y", "x").collect()
+    assert len(placed) == 13 * 15
+    order = [tuple(r) for r in placed]
+    assert order == sorted(order)
+    assert len({r[:3] for r in order}) == len({r[1:3] for r in order}) == 16
+
+
 def test_blocks(spark):
     ds = make(spark, 13, 15, "f32")
     v = ds.variables[0]
