@@ -101,42 +101,55 @@ class Model:
     languages: list[str]
     default: str
     scripts: dict[str, np.ndarray]
-    words: dict[str, np.ndarray]
+    words: dict[str, int]
+    frequency: np.ndarray
     trigrams: dict[str, int]
     chain: np.ndarray
-    unseen: np.ndarray
     rows: dict[str, int] = field(default_factory=dict)
-    scores: np.ndarray | None = None
-
-    def score(self, word: str) -> np.ndarray:
-        """One number for each language: 0 for the best candidate, at least ``-CLIP`` for others, and ``-EXCLUDED`` for those without the script."""
-        candidates = self.scripts.get(script(word))
-        if candidates is None:
-            return np.zeros(len(self.languages), np.float32)
-        whole = padded(word)
-        at = [self.trigrams.get(whole[i : i + 3], -1) for i in range(len(whole) - 2)]
-        spelling = np.where(np.array(at)[:, None] >= 0, self.chain[at], self.unseen).sum(0)
-        known = self.words.get(word)
-        total = spelling if known is None else np.logaddexp(known + np.log(WORD_WEIGHT), spelling + np.log(1 - WORD_WEIGHT))
-        total = np.where(candidates, total, -np.inf)
-        return np.where(candidates, np.maximum(total - total.max(), -CLIP), -EXCLUDED).astype(np.float32)
-
-    def row(self, word: str) -> int:
-        if self.scores is None or len(self.rows) >= CACHE_WORDS:
-            self.rows.clear()
-            self.scores = np.zeros((CACHE_WORDS, len(self.languages)), np.float32)
-        self.rows[word] = n = len(self.rows)
-        self.scores[n] = self.score(word)
-        return n
-
-    def emissions(self, words: list[str]) -> np.ndarray:
-        if len(words) > CACHE_WORDS // 4:  # a very long text could turn the memory over
-            return np.concatenate([self.emissions(words[i : i + CACHE_WORDS // 4]) for i in range(0, len(words), CACHE_WORDS // 4)])
-        if len(self.rows) + len(words) > CACHE_WORDS:
-            self.rows.clear()
-        get, row = self.rows.get, self.row
-        at = [r if (r := get(w)) is not None else row(w) for w in words]
-        return self.scores[at]
+    memory: tuple[np.ndarray, ...] | None = None
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word one number a language, its letters, and whether any language has its script.
+
+        The best candidate has 0, others at least ``-CLIP``, and those without the
+        script ``-EXCLUDED``; where no language has it all have 0.
+        """
+        get, at, starts = self.trigrams.get, [], []
+        for w in words:
+            whole = padded(w)
+            starts.append(len(at))
+            at += [get(whole[i : i + 3], -1) for i in range(len(whole) - 2)]
+        total = np.add.reduceat(self.chain[at], starts, axis=0)  # the last row of the chain is for unseen trigrams
+        number = np.array([self.words.get(w, -1) for w in words])
+        known = number >= 0
+        total[known] = np.logaddexp(self.frequency[number[known]] + np.log(WORD_WEIGHT), total[known] + np.log(1 - WORD_WEIGHT))
+        nobody = np.zeros(len(self.languages), bool)
+        candidates = np.array([self.scripts.get(script(w), nobody) for w in words])
+        read = candidates.any(1)
+        total = np.where(candidates | ~read[:, None], total, -np.inf)
+        scores = np.where(candidates, np.maximum(total - total.max(1, keepdims=True), -CLIP), -EXCLUDED)
+        scores[~read] = 0
+        return scores.astype(np.float32), np.array([letters(w) for w in words], np.int32), read
+
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``score`` of every word; words that are not remembered are scored at once."""
+        if len(words) > (step := CACHE_WORDS // 4):  # a very long text could turn the memory over
+            parts = [self.emissions(words[i : i + step]) for i in range(0, len(words), step)]
+            return tuple(np.concatenate(p) for p in zip(*parts))
+        at = [*map(self.rows.get, words)]
+        if None in at:
+            new = [*dict.fromkeys(w for w, r in zip(words, at) if r is None)]
+            if self.memory is None or len(self.rows) + len(new) > CACHE_WORDS:
+                self.rows.clear()
+                self.memory = np.zeros((CACHE_WORDS, len(self.languages)), np.float32), np.zeros(CACHE_WORDS, np.int32), np.zeros(CACHE_WORDS, bool)
+                new = [*dict.fromkeys(words)]
+            n = len(self.rows)
+            for kept, made in zip(self.memory, self.score(new)):
+                kept[n : n + len(new)] = made
+            self.rows.update(zip(new, range(n, n + len(new))))
+            at = [*map(self.rows.get, words)]
+        where = np.array(at)
+        return tuple(kept[where] for kept in self.memory)
 
 
 def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -175,10 +188,13 @@ def _viterbi(s: np.ndarray, switch: float) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def label(model: Model, text: str | None) -> tuple[list[str], np.ndarray]:
-    """The words (``pieces``) of a text and the language number of each."""
+def label(model: Model, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word (``pieces``) of a text the number of its language, its letters, and whether any language has its script."""
     words = pieces(text) if text else []
-    return words, viterbi(model.emissions(words)) if words and model.languages else np.zeros(0, int)
+    if not words or not model.languages:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
+    scores, size, read = model.emissions(words)
+    return viterbi(scores), size, read
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +262,7 @@ def build(scripts: list, words: list, grams: list) -> Model:
     chain = np.log((g + 0.05) / (base + 0.05 * alphabet))
     unseen = np.full(L, np.log(1 / (20 * alphabet)))
     default = languages[int(total.argmax())] if L else "und"
-    return Model(languages, default, candidates, {r["item"]: logs[i] for i, r in enumerate(words)}, {r["item"]: i for i, r in enumerate(grams)}, np.vstack([chain, unseen]) if L else chain, unseen)
+    return Model(languages, default, candidates, {r["item"]: i for i, r in enumerate(words)}, logs, {r["item"]: i for i, r in enumerate(grams)}, np.vstack([chain, unseen]) if L else chain)
 
 
 def held_out():
@@ -255,12 +271,12 @@ def held_out():
 
 def judged(m: Model, text: str | None) -> tuple[str, float, int]:
     """The language of a text, its share of the letters, and the number of spans."""
-    words, labels = label(m, text)
+    labels, size, read = label(m, text)
     if not len(labels):
         return "und", 0.0, 0
-    if not any(script(w) in m.scripts for w in words):
+    if not read.any():
         return m.default, 0.0, 0
-    share = np.bincount(labels, np.array([letters(w) for w in words], float), len(m.languages))
+    share = np.bincount(labels, size, len(m.languages))
     best = int(share.argmax())
     return m.languages[best], float(share[best] / share.sum()), 1 + int((np.diff(labels) != 0).sum())
 
@@ -289,7 +305,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     def run(texts: list[str | None]) -> list:
         out = []
         for text in texts:
-            _, labels = label(held.value, text)
+            labels = label(held.value, text)[0]
             edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
             out.append(([a for a, b in zip(edges, edges[1:]) if b > a], [b - 1 for a, b in zip(edges, edges[1:]) if b > a], [held.value.languages[labels[a]] for a, b in zip(edges, edges[1:]) if b > a]))
         return [*zip(*out)] or [[], [], []]
