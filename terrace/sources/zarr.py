@@ -2,10 +2,10 @@
 
 A shard is one object, written by the task that holds its cells: the chunks one
 after the other, then an index with each chunk's place.  Chunks and shards that are
-wholly missing are not written.  Bytes are not compressed.  Tasks write whole
-objects, so one that runs again leaves the same object; a task needs a file system
-that pyarrow knows (local, S3, GCS, HDFS).  Reading goes through Spark's own
-readers, which open any Hadoop file system.
+wholly missing are not written.  Tasks write whole objects, so one that runs again
+leaves the same object; a task needs a file system that pyarrow knows (local, S3,
+GCS, HDFS).  Reading goes through Spark's own readers, which open any Hadoop file
+system, and takes arrays of version 2 and those of other writers too (``codecs``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 from typing import Any
 
 import numpy as np
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 
 from terrace.operators.pyramid import Pyramid
 from terrace.plans.metadata import to_json
-from terrace.plans.raster import Variable
+from terrace.plans.raster import Coordinate, Raster, Variable, densified, normalised
+from terrace.sources.codecs import NOWHERE, decode, pack, require_known
 from terrace.sources.store import DTYPES, cells, chosen_levels, delete, exists
 
 NAMES = {"u8": "uint8", "u16": "uint16", "i16": "int16", "i32": "int32", "i64": "int64", "f32": "float32", "f64": "float64"}
-NOWHERE = 2**64 - 1
+#: What a writer can add to the plain bytes.
+PACKED: dict[str | None, list] = {None: [], "gzip": [{"name": "gzip", "configuration": {"level": 5}}], "zstd": [{"name": "zstd", "configuration": {"level": 3, "checksum": False}}]}
 LITTLE = {"name": "bytes", "configuration": {"endian": "little"}}
 
 
@@ -35,10 +38,10 @@ def _fill(v: Variable) -> Any:
     return "NaN" if isinstance(fill, float) and math.isnan(fill) else fill
 
 
-def array_document(shape: Sequence[int], dtype: str, dims: Sequence[str], chunks: Sequence[int], shards: Sequence[int] | None, fill: Any, attrs: dict[str, Any]) -> dict[str, Any]:
-    codecs = [LITTLE]
+def array_document(shape: Sequence[int], dtype: str, dims: Sequence[str], chunks: Sequence[int], shards: Sequence[int] | None, fill: Any, attrs: dict[str, Any], compressor: str | None = None) -> dict[str, Any]:
+    codecs: list[dict[str, Any]] = [LITTLE, *PACKED[compressor]]
     if shards is not None:
-        codecs = [{"name": "sharding_indexed", "configuration": {"chunk_shape": [*chunks], "codecs": [LITTLE], "index_codecs": [LITTLE], "index_location": "end"}}]
+        codecs = [{"name": "sharding_indexed", "configuration": {"chunk_shape": [*chunks], "codecs": codecs, "index_codecs": [LITTLE], "index_location": "end"}}]
     return {
         "zarr_format": 3, "node_type": "array", "shape": [*shape], "data_type": NAMES[dtype],
         "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [*(shards or chunks)]}},
@@ -60,7 +63,7 @@ def _uri(root: str) -> str:
     return root.rstrip("/") if "://" in root or root.startswith("file:") else "file://" + root.rstrip("/")
 
 
-def pack_shard(data: np.ndarray, chunks: Sequence[int], fill: Any) -> bytes | None:
+def pack_shard(data: np.ndarray, chunks: Sequence[int], fill: Any, compressor: str | None = None) -> bytes | None:
     """The bytes of a shard, ``data`` having its full shape; None if all is missing."""
     counts = [s // c for s, c in zip(data.shape, chunks)]
     parts, index, at = [], [], 0
@@ -69,7 +72,7 @@ def pack_shard(data: np.ndarray, chunks: Sequence[int], fill: Any) -> bytes | No
         if np.isnan(piece).all() if fill != fill else (piece == fill).all():
             index += [NOWHERE, NOWHERE]
             continue
-        raw = np.ascontiguousarray(piece).tobytes()
+        raw = pack(np.ascontiguousarray(piece).tobytes(), compressor)
         parts.append(raw)
         index += [at, len(raw)]
         at += len(raw)
@@ -77,21 +80,16 @@ def pack_shard(data: np.ndarray, chunks: Sequence[int], fill: Any) -> bytes | No
 
 
 def unpack_shard(raw: bytes, shard: Sequence[int], chunks: Sequence[int], dtype: str, fill: Any) -> np.ndarray:
-    counts = [s // c for s, c in zip(shard, chunks)]
-    index = np.frombuffer(raw, "<u8", 2 * math.prod(counts), len(raw) - 16 * math.prod(counts)).reshape(-1, 2).tolist()
-    out = np.full(shard, fill, DTYPES[dtype])
-    for where, (at, size) in zip(np.ndindex(*counts), index):
-        if at != NOWHERE:
-            out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(where, chunks))] = np.frombuffer(raw[at : at + size], DTYPES[dtype]).reshape(chunks)
-    return out
+    """The inverse of ``pack_shard`` without a compressor."""
+    return decode(raw, [{"name": "sharding_indexed", "configuration": {"chunk_shape": [*chunks], "codecs": [LITTLE]}}], shard, DTYPES[dtype], fill)
 
 
-def write_array(df: DataFrame, root: str, path: str, dims: Sequence[str], sizes: dict[str, int], v: Variable, chunks: Sequence[int], shards: Sequence[int] | None = None, attrs: dict[str, Any] | None = None) -> int:
-    """Write a variable's cells as an array; the number of objects written."""
+def write_array(df: DataFrame, root: str, path: str, dims: Sequence[str], sizes: dict[str, int], v: Variable, chunks: Sequence[int], shards: Sequence[int] | None = None, attrs: dict[str, Any] | None = None, compressor: str | None = None) -> int:
+    """Write a variable's cells as an array, plain or by ``gzip`` or ``zstd``; the number of objects written."""
     base = f"{_uri(root)}/{path}"
     block = list(shards or chunks)
     fill = v.kind.coerce(v.fill) if v.fill is not None else 0
-    _put(f"{base}/zarr.json", to_json(array_document([sizes[d] for d in dims], v.dtype, dims, chunks, shards, _fill(v), attrs or {})).encode())
+    _put(f"{base}/zarr.json", to_json(array_document([sizes[d] for d in dims], v.dtype, dims, chunks, shards, _fill(v), attrs or {}, compressor)).encode())
     names, dtype = list(dims), np.dtype(DTYPES[v.dtype])
 
     def store(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,7 +97,7 @@ def write_array(df: DataFrame, root: str, path: str, dims: Sequence[str], sizes:
         which = at[0] // block
         data = np.full(block, fill, dtype)
         data[tuple((at - which * block).T)] = pdf[v.name].to_numpy()
-        raw = pack_shard(data, chunks, fill) if shards is not None else pack_shard(data, block, fill)
+        raw = pack_shard(data, chunks if shards is not None else block, fill, compressor)
         if raw is not None:
             _put(f"{base}/c/{'/'.join(map(str, which))}", raw if shards is not None else raw[:-16])
         return pd.DataFrame({"written": [int(raw is not None)]})
@@ -108,8 +106,10 @@ def write_array(df: DataFrame, root: str, path: str, dims: Sequence[str], sizes:
     return df.select(*dims, v.name).groupBy(*keys).applyInPandas(store, "written int").agg(F.sum("written")).first()[0] or 0
 
 
-def write_pyramid(pyramid: Pyramid, root: str, *, mode: str = "w", levels: Sequence[int] | None = None) -> dict[int, int]:
+def write_pyramid(pyramid: Pyramid, root: str, *, mode: str = "w", levels: Sequence[int] | None = None, compressor: str | None = None) -> dict[int, int]:
     """Write levels as groups ``/0``, ``/1`` and so on below a root with the pyramid's attributes; objects written by level."""
+    if compressor not in PACKED:
+        raise ValueError(f"compressor must be gzip, zstd or None, not {compressor!r}")
     spark = next(iter(pyramid.source.frames.values())).sparkSession
     wanted, uri = chosen_levels(pyramid, levels), _uri(root)
     there = exists(spark, uri)
@@ -143,7 +143,7 @@ def write_pyramid(pyramid: Pyramid, root: str, *, mode: str = "w", levels: Seque
                 if exists(spark, f"{uri}/{n}/{v.name}"):
                     delete(spark, f"{uri}/{n}/{v.name}")
                 e = pyramid.encoding[f"/{n}"][v.name]
-                out[n] += write_array(frame, root, f"{n}/{v.name}", dims, t.sizes, v, e["chunks"], e.get("shards"), {**v.attrs, **({"coordinates": others} if others else {})})
+                out[n] += write_array(frame, root, f"{n}/{v.name}", dims, t.sizes, v, e["chunks"], e.get("shards"), {**v.attrs, **({"coordinates": others} if others else {})}, compressor)
             if previous := held.pop(dims, None):
                 previous.unpersist()
             held[dims] = frame
@@ -159,33 +159,131 @@ def _write_whole(df: DataFrame, uri: str, path: str, v: Variable, sizes: dict[st
     return write_array(df, uri, path, v.dims, sizes, v, [sizes[d] for d in v.dims], None, v.attrs)
 
 
+def _json(spark: SparkSession, path: str) -> dict[str, Any] | None:
+    """A small object, which may have a name that Spark's readers skip."""
+    if not exists(spark, path):
+        return None
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _at(root: str, path: str) -> str:
+    return f"{_uri(root)}/{path.strip('/')}".rstrip("/")
+
+
 def read_document(spark: SparkSession, root: str, path: str = "") -> dict[str, Any]:
-    """A group's or array's ``zarr.json``."""
-    return json.loads(spark.read.text(f"{_uri(root)}/{path.strip('/')}/zarr.json".replace("//zarr", "/zarr"), wholetext=True).first()[0])
+    """A group's or array's ``zarr.json``; what stands for it in version 2 is given in the same form."""
+    base = _at(root, path)
+    if (doc := _json(spark, f"{base}/zarr.json")) is not None:
+        return doc
+    attrs = _json(spark, f"{base}/.zattrs") or {}
+    if (old := _json(spark, f"{base}/.zarray")) is None:
+        if _json(spark, f"{base}/.zgroup") is None:
+            raise FileNotFoundError(f"{base} is no Zarr group or array")
+        return {"zarr_format": 2, "node_type": "group", "attributes": attrs}
+    if old.get("filters"):
+        raise ValueError(f"{base} has filters, which aren't known")
+    if not isinstance(old["dtype"], str):
+        raise ValueError(f"{base} has cells of several fields")
+    kind, rank = np.dtype(old["dtype"]), len(old["shape"])
+    codecs: list[dict[str, Any]] = [{"name": "transpose", "configuration": {"order": [*range(rank)][::-1]}}] if old.get("order") == "F" and rank > 1 else []
+    codecs.append({"name": "bytes", "configuration": {"endian": "big" if kind.byteorder == ">" else "little"}})
+    codecs += [{"name": old["compressor"]["id"]}] if old.get("compressor") else []
+    return {
+        "zarr_format": 2, "node_type": "array", "shape": old["shape"], "data_type": kind.name,
+        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": old["chunks"]}},
+        "chunk_key_encoding": {"name": "v2", "configuration": {"separator": old.get("dimension_separator") or "."}},
+        "fill_value": old["fill_value"], "codecs": codecs, "dimension_names": attrs.pop("_ARRAY_DIMENSIONS", None), "attributes": attrs,
+    }
+
+
+def _described(doc: dict[str, Any], path: str) -> tuple[Variable, Any]:
+    """The variable that an array holds and what cells without a chunk are, None if that isn't said."""
+    dtype = {n: t for t, n in NAMES.items()}.get(doc["data_type"])
+    if dtype is None:
+        raise ValueError(f"{path} has cells of type {doc['data_type']}; known are {', '.join(NAMES.values())}")
+    dims = tuple(n or f"dim_{i}" for i, n in enumerate(doc.get("dimension_names") or [None] * len(doc["shape"])))
+    fill = float(doc["fill_value"]) if isinstance(doc["fill_value"], str) else doc["fill_value"]
+    name, chunks, attrs = path.rstrip("/").rsplit("/", 1)[-1], tuple(doc["chunk_grid"]["configuration"]["chunk_shape"]), doc.get("attributes") or {}
+    # In version 2 the fill value is what stands for a missing cell; in version 3 an attribute tells it.
+    missing = {"_FillValue": fill} if doc["zarr_format"] == 2 and fill is not None and "_FillValue" not in attrs else {}
+    return Variable(name, dims, dtype, attrs, missing, chunks), fill
 
 
 def read_array(spark: SparkSession, root: str, path: str) -> DataFrame:
     """An array's cells: an INT column for each dimension and one with the array's name, or ``value`` for a dimension's own coordinate; cells that aren't stored are absent, which readers take as missing."""
     doc = read_document(spark, root, path)
-    dims, shape, name = doc["dimension_names"], doc["shape"], path.rstrip("/").rsplit("/", 1)[-1]
-    name = "value" if name in dims else name
-    block = doc["chunk_grid"]["configuration"]["chunk_shape"]
-    codec = doc["codecs"][0]
-    dtype = {n: t for t, n in NAMES.items()}[doc["data_type"]]
-    fill = float("nan") if doc["fill_value"] == "NaN" else doc["fill_value"]
-    chunks = codec["configuration"]["chunk_shape"] if codec["name"] == "sharding_indexed" else None
-    if not exists(spark, f"{_uri(root)}/{path}/c"):  # nothing but missing cells
-        kind = Variable(name, tuple(dims), dtype).kind.spark
-        return spark.createDataFrame([], ", ".join(f"`{d}` int" for d in dims) + f", `{name}` {kind}")
-    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{_uri(root)}/{path}/c").select("path", "content")
+    v, fill = _described(doc, path)
+    require_known(doc["codecs"])
+    dims, shape, block, codecs, dtype = v.dims, doc["shape"], [*v.chunks], doc["codecs"], DTYPES[v.dtype]
+    if not dims:
+        raise ValueError(f"{path} has no dimensions")
+    keys = doc.get("chunk_key_encoding") or {"name": "default"}
+    separator = (keys.get("configuration") or {}).get("separator", "/" if keys["name"] == "default" else ".")
+    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*[0-9]").load(_at(root, path)).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for where, raw in zip(pdf["path"], pdf["content"]):
-                at = [int(x) for x in where.rsplit("/c/", 1)[1].split("/")]
-                data = unpack_shard(raw, block, chunks, dtype, fill) if chunks else np.frombuffer(raw, DTYPES[dtype]).reshape(block)
+                key = where.rsplit("/", 1)[1].split(".") if separator == "." else where.split("/")
+                at = [int(x) for x in key[-len(dims) :]]
+                data = decode(raw, codecs, block, dtype, 0 if fill is None else fill)
                 inside = data[tuple(slice(0, n - i * b) for n, i, b in zip(shape, at, block))]
                 yield pd.DataFrame({"block": [at], "shape": [[*inside.shape]], "data": [np.ascontiguousarray(inside).tobytes()]})
 
     made = objects.mapInPandas(parse, "block array<int>, shape array<int>, data binary")
-    return cells(made, dims, Variable(name, tuple(dims), dtype), block)
+    return cells(made, dims, replace(v, name="value" if v.name in dims else v.name), block)
+
+
+def open_group(spark: SparkSession, root: str, path: str = "", *, crs: str | None = None) -> Raster:
+    """The arrays of a group as a dataset: one-dimensional ones named as their dimension are coordinates, scalars are left out.
+
+    Variables that share their dimensions come by one union and one exchange.  Where
+    cells without a chunk have a value that isn't missing, the whole grid is made.
+    """
+    base = _at(root, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    group = read_document(spark, root, path)
+    children = sorted(s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if s.isDirectory())
+    sizes: dict[str, int] = {}
+    coords: dict[str, Coordinate] = {}
+    stored: dict[tuple[str, ...], list[tuple[Variable, Any]]] = {}
+    for name in children:
+        if not any(exists(spark, f"{base}/{name}/{f}") for f in ("zarr.json", ".zarray")):
+            continue
+        doc = read_document(spark, base, name)
+        if doc["node_type"] != "array" or not doc["shape"]:
+            continue
+        if doc.get("dimension_names") == [name]:
+            values = {r[0]: r[1] for r in read_array(spark, base, name).collect()}  # as long as an axis
+            coords[name] = Coordinate(name, (name,), [values.get(i, math.nan) for i in range(doc["shape"][0])], doc.get("attributes") or {})
+            found = {name: doc["shape"][0]}
+        else:
+            v, fill = _described(doc, name)
+            stored.setdefault(v.dims, []).append((v, fill))
+            found = dict(zip(v.dims, doc["shape"]))
+        for d, n in found.items():
+            if sizes.setdefault(d, n) != n:
+                raise ValueError(f"{name} has {n} cells along {d}, others have {sizes[d]}")
+    frames = {dims: _together(spark, base, dims, sizes, arrays) for dims, arrays in stored.items()}
+    attrs = group.get("attributes") or {}
+    return Raster(sizes, tuple(v for arrays in stored.values() for v, _ in arrays), frames, coords, crs or attrs.get("proj:code"), attrs)
+
+
+def _together(spark: SparkSession, base: str, dims: tuple[str, ...], sizes: dict[str, int], arrays: list[tuple[Variable, Any]]) -> DataFrame:
+    whole, variables = False, []
+    for v, fill in arrays:
+        same = fill is None or (v.fill is not None and (fill == v.fill or (fill != fill and v.fill != v.fill)))
+        whole |= not same
+        variables.append(v if fill is None else replace(v, encoding={"_FillValue": fill}))
+    parts = [read_array(spark, base, v.name) for v in variables]
+    df = parts[0]
+    if len(parts) > 1:
+        for part in parts[1:]:
+            df = df.unionByName(part, allowMissingColumns=True)
+        df = df.groupBy(*dims).agg(*[F.first(v.name, ignorenulls=True).alias(v.name) for v in variables])
+    return densified(df, dims, sizes, tuple(variables)) if whole else normalised(df, dims, tuple(variables))
