@@ -368,6 +368,14 @@ def zarr_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zarr.read_array(spark, root, "2/v").select(*YX, "v")
 
 
+@query("zarr_opened", f"WITH g AS ({G1}), a AS ({_step('g', 'max(v)')}) SELECT y, x, v FROM ({_step('a', 'max(v)')})")
+def zarr_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store's level 1, packed by zstd, is opened as a dataset and coarsened once more."""
+    root, p = _root(spark), create_pyramid(g1(spark, sf_dir), 2, method="max")
+    zarr.write_pyramid(p, root, compressor="zstd")
+    return create_pyramid(zarr.open_group(spark, root, "1", crs="EPSG:4326"), 2, method="max").level(1).select(*YX, "v")
+
+
 @query("deep_stack", f"WITH l0 AS ({G6}), l1 AS ({_step('l0', 'max(v)', keys='t')}), l2 AS ({_step('l1', 'max(v)', keys='t')}) SELECT * FROM l2")
 def deep_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain over many small grids, which are dealt out by their own index too."""
