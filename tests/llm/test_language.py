@@ -15,6 +15,46 @@ def test_held_out_accuracy(spark, sf_dir):
     assert len(held) > 20 and (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def one_score(m, word):
+    """A word's scores, one trigram and one language after the other."""
+    candidates = m.scripts.get(language.script(word))
+    if candidates is None:
+        return [0.0] * len(m.languages)
+    whole, out = language.padded(word), []
+    for i in range(len(m.languages)):
+        spelling = sum(m.chain[m.trigrams.get(whole[k : k + 3], -1)][i] for k in range(len(whole) - 2))
+        if word in m.words:
+            spelling = np.log(language.WORD_WEIGHT * np.exp(m.frequency[m.words[word]][i]) + (1 - language.WORD_WEIGHT) * np.exp(spelling))
+        out.append(spelling if candidates[i] else -np.inf)
+    return [max(x - max(out), -language.CLIP) if c else -language.EXCLUDED for x, c in zip(out, candidates)]
+
+
+def test_query_by_brute_force(spark, sf_dir, monkeypatch):
+    """The whole query against word-by-word scores and every step of the path; so too where words are forgotten and texts are cut."""
+    docs = documents(spark, sf_dir)
+    model = language.learn(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.op9_language(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    known: dict = {}
+    for r in rows[::4]:
+        words = language.pieces(r.text or "")
+        if not words:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        known.update({w: one_score(model, w) for w in words if w not in known})
+        labels = language._viterbi(np.array([known[w] for w in words], np.float32), language.SWITCH)
+        share = np.bincount(labels, [language.letters(w) for w in words], len(model.languages))
+        best = int(share.argmax())
+        assert got[r.doc_id][0] == model.languages[best] and abs(got[r.doc_id][1] - share[best] / share.sum()) < 0.02
+    monkeypatch.setattr(language, "CACHE_WORDS", 64)
+    model.rows.clear()
+    model.memory = None
+    for r in rows[:40]:
+        lang, score, _ = language.judged(model, r.text)
+        assert (lang, score) == got[r.doc_id]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     for _ in range(200):

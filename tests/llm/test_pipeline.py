@@ -1,13 +1,14 @@
 """The pipeline against its stages done plainly."""
 
 from hashlib import sha256
+from itertools import product
 
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from terrace.llm import mixing, private, quality, simhash
 from terrace.llm.bpe import default_tokenizer
-from tests.llm.helpers import documents
+from tests.llm.helpers import documents, tricky
 
 
 def test_stages(spark, sf_dir):
@@ -26,3 +27,21 @@ def test_stages(spark, sf_dir):
         row = (r.doc_id, len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
         want += [row] * -(-r.taken // max(1, r["size"]))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(want)
+
+
+def test_edges(spark, tmp_path):
+    """Rows with nulls, empty and very long texts, copies and extra columns; an empty table gives an empty one."""
+    words = ["".join(p) for p in product("bdfg", "aeiou", "klmn", "aeiou")]
+    one, two = " ".join(words[:180]) + ".", " ".join(reversed(words[200:])) + "."
+    good = [(None, one, "en", None), (11, one, "en", "s"), (12, two, None, "t"), (12, two, None, "t"), (None, two + " more", "en", "t")]
+    docs = tricky(spark).unionByName(spark.createDataFrame([(*g, 0, "x", "y", 2) for g in good], tricky(spark).schema))
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(11, 1, 0), (4, 0, None), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    library = Tokenizer.from_file(default_tokenizer())
+    decoded = {i: library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for i, t in ((11, one), (12, two))}
+    assert {(r.doc_id, r.decoded_sha256) for r in got.collect()} == {(i, sha256(t.encode()).hexdigest()) for i, t in decoded.items()}
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.dtypes == got.dtypes and none.count() == 0
