@@ -2,7 +2,7 @@
 
 import pytest
 
-from terrace.llm import bpe, language, mixing, private, quality, simhash, substrings, suffixes, tokens
+from terrace.llm import bpe, fingerprints, language, mixing, periods, private, quality, ranking, simhash, substrings, suffixes, tokens
 from terrace.llm.common import scratch
 
 IDS = {None, 2**60 + 1, 2**60 + 3}
@@ -16,6 +16,7 @@ def files(docs):
 OPERATORS = {
     "op1": substrings.deduplicate, "op2": simhash.near_fingerprints, "op2 stage": simhash.near_duplicates, "op3": files, "op4": mixing.taken, "op5": bpe.round_trip,
     "op6": lambda d: private.detect(d, private.learn(d)), "op8": lambda d: quality.judge(d, []), "op9": lambda d: language.predict(d, language.learn(d)), "op10": suffixes.deduplicate,
+    "op11": periods.runs, "op12": fingerprints.fingerprints, "op12 next": lambda d: fingerprints.with_next(d, lambda a, b: (a,), "a string"), "op13": lambda d: ranking.rank(d, d.selectExpr("1 AS item_id", "'a d g' AS text")),
 }
 
 
