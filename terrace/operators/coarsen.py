@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce as fold
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.reduce import check_method, reducer
+from terrace.functions.reduce import absent, check_method, reducer
 from terrace.functions.types import element
 
 MAX_DIMS = 4
@@ -54,6 +56,7 @@ def coarsen(
     skipna: bool = True,
     promote: bool = False,
     keys: Sequence[str] = (),
+    by_mean: Sequence[str] = (),
 ) -> DataFrame:
     """Cells of the coarser grid: ``dims`` and one column for each of ``variables`` (name to element type).
 
@@ -61,7 +64,8 @@ def coarsen(
     a window at an axis's end is dropped.  ``nearest`` keeps each window's first
     cell, which is a filter without a shuffle; all other methods aggregate every
     variable in one shuffle.  ``keys`` are further columns that windows never
-    cross; a partitioning by them serves the aggregation as it is.
+    cross; a partitioning by them serves the aggregation as it is.  Variables in
+    ``by_mean`` are reduced so whatever the method is; beside them ``nearest`` aggregates too.
     """
     check_method(method)
     strides = check_strides(dims, strides)
@@ -70,13 +74,19 @@ def coarsen(
     cells = df if inside is None else df.where(inside)
     step = {d: window_axis(sizes[d], strides[d])[0] for d in dims}
     index = [(F.expr(f"`{d}` div {step[d]}").cast("int") if step[d] > 1 else F.col(d)).alias(d) for d in dims]
-    if method == "nearest":
+    by_mean = [n for n in by_mean if n in kinds]
+    if method == "nearest" and not by_mean:
         for d in dims:
             if step[d] > 1:
                 cells = cells.where(F.col(d) % step[d] == 0)
         return cells.select(*keys, *index, *variables)
     fills = fills or {}
-    values = [reducer(n, k, method, fills.get(n), skipna, promote).alias(n) for n, k in kinds.items()]
+    if method == "nearest":
+        corner = fold(and_, [F.col(d) % step[d] == 0 for d in dims if step[d] > 1], F.lit(True))
+        others = {n: F.coalesce(F.max(F.when(corner, F.col(n))), absent(k, fills.get(n))) for n, k in kinds.items() if n not in by_mean}
+    else:
+        others = {n: reducer(n, k, method, fills.get(n), skipna, promote) for n, k in kinds.items() if n not in by_mean}
+    values = [(others[n] if n in others else reducer(n, k, "mean", fills.get(n), skipna, promote)).alias(n) for n, k in kinds.items()]
     return cells.groupBy(*keys, *index).agg(*values)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 from dataclasses import replace
 
@@ -9,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.operators.coarsen import window_axis
-from terrace.plans.raster import Coordinate
+from terrace.plans.raster import EPOCH, Coordinate, plain_value
 
 
-def coarsen_values(values: list, stride: int) -> list[float]:
-    """Means of full windows, whatever the data's method is; an axis shorter than its stride is one window."""
+def coarsen_values(values: list, stride: int) -> list:
+    """Means of full windows, whatever the data's method is; an axis shorter than its stride is one window.
+
+    The mean of times is a time, in whole microseconds.
+    """
     stride, count = window_axis(len(values), stride)
-    return [sum(map(float, values[i * stride : (i + 1) * stride])) / stride for i in range(count)]
+    windows = [[plain_value(x) for x in values[i * stride : (i + 1) * stride]] for i in range(count)]
+    if any(isinstance(x, dt.datetime) for w in windows for x in w):
+        steps = [[(x - EPOCH) // dt.timedelta(microseconds=1) for x in w] for w in windows]
+        return [EPOCH + dt.timedelta(microseconds=sum(w) // stride) for w in steps]
+    return [sum(map(float, w)) / stride for w in windows]
 
 
 def coarsen_coords(coords: Mapping[str, Coordinate], strides: Mapping[str, int]) -> dict[str, Coordinate]:

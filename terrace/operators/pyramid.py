@@ -91,7 +91,7 @@ class Pyramid:
         step = self.step(level)
         return coarsen(
             df, dims, self.templates[level - 1].sizes, {self.x_dim: step, self.y_dim: step}, {v.name: v.dtype for v in of}, self.method,
-            fills={v.name: v.fill for v in of}, promote=self.promote, keys=keys,
+            fills={v.name: v.fill for v in of}, promote=self.promote, keys=keys, by_mean=[v.name for v in of if v.coordinate],
         )
 
     def chain(self, dims: tuple[str, ...] | None = None, upto: int | None = None, base: DataFrame | None = None) -> list[DataFrame]:
@@ -102,7 +102,7 @@ class Pyramid:
         names = [v.name for v in groups[dims]]
         df = copy_level(self.source.frames[dims] if base is None else base, dims, names)
         out = [df]
-        if self.method == "nearest":
+        if self.method == "nearest" and not any(v.coordinate for v in groups[dims]):
             for level in range(1, last + 1):
                 out.append(self.reduce_step(out[-1], dims, level))
             return out
@@ -155,6 +155,11 @@ class Pyramid:
         cells = self.chain(dims, level, base)[level]
         return cells.where((F.col(self.y_dim) >= y0) & (F.col(self.y_dim) < y1) & (F.col(self.x_dim) >= x0) & (F.col(self.x_dim) < x1))
 
+    def auxiliary(self, level: int) -> str:
+        """The names of coordinates that aren't an axis of their own, as the ``coordinates`` attribute has them."""
+        t = self.templates[level]
+        return " ".join([*(c.name for c in t.coords.values() if c.dims != (c.name,)), *(v.name for v in t.variables if v.coordinate)])
+
     def region_shape(self, level: int, name: str) -> tuple[int, ...]:
         """What is written at once: a shard, or a chunk where there are no shards."""
         e = self.encoding[f"/{level}"][name]
@@ -195,7 +200,7 @@ def create_pyramid(
             raise ValueError(f"{v.name} has only one of the dimensions {y_dim} and {x_dim}")
     for c in ds.coords.values():
         if len(c.dims) > 1 and {x_dim, y_dim} & set(c.dims):
-            raise ValueError(f"the coordinate {c.name} has more than one dimension and can't be coarsened")
+            raise ValueError(f"the coordinate {c.name} has more than one dimension: give it as a variable that is a coordinate, with a value for each cell")
     ds.require_crs()
     templates = [replace(ds, frames={}, sizes=s) for s in level_sizes(ds.sizes, steps, x_dim, y_dim)]
     for i in range(1, len(steps)):

@@ -6,9 +6,11 @@ components, customers in rows of 30.  Sizes always come from the data.
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 from terrace.operators.coarsen import coarsen, copy_level
 from terrace.operators.coords import attach, coarsen_coordinate_frame, coordinate_frame
 from terrace.operators.pyramid import create_pyramid
+from terrace.operators.tiles import tiled_levels
 from terrace.plans.layout import encoding_frame, recommend_encoding, region_grid
 from terrace.plans.metadata import LayerHint, attach_metadata, coordinate_spacing, layout_frame
-from terrace.plans.raster import Coordinate, Raster, densified, raster
+from terrace.plans.raster import EPOCH, Coordinate, Raster, densified, raster
 from terrace.sources import store, zarr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,7 +231,7 @@ def cells_with_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach(attach(ds.frames[YX], axes, "y", "lat"), axes, "x", "lon").select(*YX, "v", "lat", "lon")
 
 
-@query("coord_spacing", f"WITH a AS ({AXES}) SELECT dim, count(*) AS n, CAST(CASE dim WHEN 'x' THEN 0.5 ELSE -0.25 END AS DOUBLE) AS resolution, CAST(arg_min(value, idx) AS DOUBLE) AS origin, true AS uniform FROM a GROUP BY dim")
+@query("coord_spacing", f"WITH a AS ({AXES}) SELECT dim, count(*) AS n, CAST((arg_max(value, idx) - arg_min(value, idx)) / (count(*) - 1) AS DOUBLE) AS resolution, CAST(arg_min(value, idx) AS DOUBLE) AS origin, true AS uniform FROM a GROUP BY dim")
 def coord_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, axes = _axes(spark, sf_dir)
     return coordinate_spacing(axes, "x").unionByName(coordinate_spacing(axes, "y"))
@@ -241,9 +244,20 @@ def _numbers(spark: SparkSession, names: list[str], values: list[float]) -> Data
 NY = "(SELECT (max(event_id) + 40) // 40 FROM events)"
 
 
-@query("affine_transform", "SELECT CAST(0.5 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(-180.25 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS d, CAST(-0.25 AS DOUBLE) AS e, CAST(90.125 AS DOUBLE) AS f")
+#: An axis whose place and step come from the events: west of 0 by the kinds of events, steps by the greatest day.
+DRIFT = "SELECT -0.5 * count(DISTINCT event_type) AS ox, 0.25 * count(DISTINCT event_type) AS dx, 0.5 * (max(event_id) % 128 + 1) AS oy, -0.125 * (max(user_id) % 64 + 1) AS dy FROM events"
+
+
+def _drifted(spark: SparkSession, sf_dir: str) -> Raster:
+    kinds, last, users = _table(spark, sf_dir, "events").agg(F.count_distinct("event_type"), F.max("event_id"), F.max("user_id")).first()
+    ds = g1(spark, sf_dir)
+    x, y = [-0.5 * kinds + 0.25 * kinds * i for i in range(40)], [0.5 * (last % 128 + 1) - 0.125 * (users % 64 + 1) * i for i in range(ds.sizes["y"])]
+    return replace(ds, coords={"x": Coordinate("x", ("x",), x), "y": Coordinate("y", ("y",), y)})
+
+
+@query("affine_transform", f"SELECT CAST(dx AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(ox - dx / 2 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS d, CAST(dy AS DOUBLE) AS e, CAST(oy - dy / 2 AS DOUBLE) AS f FROM ({DRIFT})")
 def affine_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbers(spark, list("abcdef"), attach_metadata(g1(spark, sf_dir)).attrs["spatial:transform"])
+    return _numbers(spark, list("abcdef"), attach_metadata(_drifted(spark, sf_dir)).attrs["spatial:transform"])
 
 
 @query("bbox", f"SELECT CAST(-180.25 AS DOUBLE) AS xmin, CAST(90.125 - 0.25 * {NY} AS DOUBLE) AS ymin, CAST(-160.25 AS DOUBLE) AS xmax, CAST(90.125 AS DOUBLE) AS ymax")
@@ -251,10 +265,12 @@ def bbox_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(spark, ["xmin", "ymin", "xmax", "ymax"], attach_metadata(g1(spark, sf_dir)).attrs["spatial:bbox"])
 
 
-@query("level_plan", "SELECT CAST(i AS INT) AS level, CAST(2 ** i AS INT) AS factor, CAST(CASE WHEN i = 0 THEN 1 ELSE 2 END AS INT) AS step FROM range(4) r(i)")
+@query("level_plan", f"WITH n AS (SELECT CAST(floor(log2(least({NY}, 40))) AS BIGINT) AS last, {NY} AS ny) SELECT CAST(i AS INT) AS level, CAST(2 ** i AS INT) AS factor, CAST(CASE WHEN i = 0 THEN 1 ELSE 2 END AS INT) AS step, CAST((ny // CAST(2 ** i AS BIGINT)) * (40 // CAST(2 ** i AS BIGINT)) AS BIGINT) AS cells FROM n, range(20) r(i) WHERE i <= last")
 def level_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = create_pyramid(g1(spark, sf_dir), 4)
-    return spark.createDataFrame([(i, f, p.step(i)) for i, f in enumerate(p.factors)], "level int, factor int, step int")
+    """As many levels as the shorter axis has halves."""
+    ds = g1(spark, sf_dir)
+    p = create_pyramid(ds, min(ds.sizes["y"], ds.sizes["x"]).bit_length())
+    return spark.createDataFrame([(i, f, p.step(i), t.sizes["y"] * t.sizes["x"]) for i, (f, t) in enumerate(zip(p.factors, p.templates))], "level int, factor int, step int, cells long")
 
 
 @query("level_shapes", f"SELECT CAST(i AS INT) AS level, CAST({NY} // CAST(2 ** i AS BIGINT) AS INT) AS ny, CAST(40 // CAST(2 ** i AS BIGINT) AS INT) AS nx FROM range(4) r(i)")
@@ -274,9 +290,12 @@ def multiscale_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("asset", "derived_from", F.col("scale")[0].alias("scale_y"), F.col("translation")[1].alias("translation_x"), "resampling_method", t[0].alias("dx"), t[2].alias("left_edge"), t[4].alias("dy"), t[5].alias("top_edge"), s[0].alias("ny"), s[1].alias("nx"))
 
 
-@query("layer_hints", """SELECT 'v' AS variable, '{"clim":[0.0,100.0],"colormap":"blues"}' AS hint""")
+@query("layer_hints", """SELECT 'v' AS variable, concat('{"clim":[', CAST(min(v) AS VARCHAR), ',', CAST(max(v) AS VARCHAR), '],"colormap":"blues"}') AS hint FROM (SELECT round(value * 100) AS v FROM events)""")
 def layer_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = create_pyramid(g1(spark, sf_dir), 2, layer_hints={"v": LayerHint([0.0, 100.0], "blues")})
+    """The range of the data's values is what a viewer is told to show."""
+    ds = g1(spark, sf_dir)
+    low, high = ds.frames[YX].agg(F.min("v"), F.max("v")).first()
+    p = create_pyramid(ds, 2, layer_hints={"v": LayerHint([low, high], "blues")})
     rows = [(k, h["clim"], h["colormap"]) for k, h in p.attrs["zarr-layer"].items()]
     return spark.createDataFrame(rows, "variable string, clim array<double>, colormap string").select("variable", F.to_json(F.struct("clim", "colormap")).alias("hint"))
 
@@ -315,8 +334,12 @@ def nonempty_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _root(spark: SparkSession) -> str:
-    """A new store in the folder that driver and executors share; a temporary one where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="terrace-")
+    """A new store in the folder that driver and executors share; a session on one machine may name none and gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="terrace-")
     return f"{shared.rstrip('/')}/pyramid-{uuid.uuid4().hex}"
 
 
@@ -376,6 +399,91 @@ def zarr_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return create_pyramid(zarr.open_group(spark, root, "1", crs="EPSG:4326"), 2, method="max").level(1).select(*YX, "v")
 
 
+query("tiled_levels", _chain(G1, "mean", [2, 2, 2]))(lambda s, d: tiled_levels(create_pyramid(g1(s, d), 4), YX, [0, 1, 2, 3]).select("level", *YX, "v"))
+query("tiled_int_levels", _chain(G4, "mean", [2, 2], "CAST(trunc(avg(v)) AS SMALLINT)"))(lambda s, d: tiled_levels(create_pyramid(g4(s, d), 3), YX, [0, 1, 2]).select("level", *YX, "v"))
+query("tiled_holes", _chain(G5, "max", [2, 2], HOLES.format("max(v)")))(lambda s, d: tiled_levels(create_pyramid(g5(s, d), 3, method="max"), YX, [0, 1, 2]).select("level", *YX, "v"))
+
+
+@query("tiled_f32_chunks", f"WITH l0 AS ({G2}), l1 AS ({_step('l0', 'max(v)')}), l2 AS ({_step('l1', 'max(v)')}) SELECT * FROM l2")
+def tiled_f32_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels above a stored array, whose chunks are read by the tasks that reduce them, without an exchange."""
+    root = _root(spark)
+    zarr.write_pyramid(create_pyramid(g2(spark, sf_dir), 1, target_chunk_bytes=16384), root)
+    p = create_pyramid(zarr.open_group(spark, root, "0", crs="EPSG:4326"), 3, method="max")
+    return tiled_levels(p, YX, [0, 1, 2]).where("level = 2").select(*YX, "v")
+
+
+@query("zarr_blosc", _chain(G2, "max", [2, 2]))
+def zarr_blosc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All levels through chunks that Blosc packed, with check sums."""
+    root, p = _root(spark), create_pyramid(g2(spark, sf_dir), 3, method="max")
+    zarr.write_pyramid(p, root, compressor="blosc", checked=True)
+    levels = [zarr.read_array(spark, root, f"{n}/v").select(F.lit(n).alias("level"), *YX, "v") for n in range(3)]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+@query("zarr_window", f"WITH l0 AS ({G1}), l1 AS ({_step('l0', 'avg(v)')}) SELECT * FROM l1 WHERE y >= (SELECT max(y) FROM l1) // 2 AND y < (SELECT max(y) FROM l1) // 2 + 20 AND x IN (2, 3, 11)")
+def zarr_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window on a stored level, whose bounds reach the scan: only chunks within them are opened."""
+    root, p = _root(spark), create_pyramid(g1(spark, sf_dir), 2, target_chunk_bytes=16384)
+    zarr.write_pyramid(p, root, compressor="zstd")
+    low = (p.templates[1].sizes["y"] - 1) // 2
+    return zarr.read_array(spark, root, "1/v").where((F.col("y") >= low) & (F.col("y") < low + 20) & F.col("x").isin(2, 3, 11)).select(*YX, "v")
+
+
+@query("zarr_coords", "WITH a AS (SELECT event_id // 40 AS y, epoch_us(date_trunc('second', min(ts))) AS us FROM events GROUP BY event_id // 40), l AS (SELECT 0 AS level, y, us FROM a UNION ALL SELECT 1, y // 2, CAST(sum(us) AS HUGEINT) // 2 FROM a WHERE y < ((SELECT max(y) + 1 FROM a) // 2) * 2 GROUP BY y // 2) SELECT CAST(level AS INT) AS level, CAST(y AS INT) AS y, CAST(us AS BIGINT) AS us FROM l")
+def zarr_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An axis of times and one of 32-bit numbers through a store, at both levels."""
+    ds = g1(spark, sf_dir)
+    first = _table(spark, sf_dir, "events").groupBy(F.expr("cast(event_id div 40 as int)").alias("y")).agg(F.date_trunc("second", F.min("ts")).alias("t"))
+    times = [EPOCH + dt.timedelta(microseconds=r.us) for r in first.orderBy("y").select(F.unix_micros("t").alias("us")).collect()]  # as long as the axis
+    p = create_pyramid(replace(ds, coords={**ds.coords, "when": Coordinate("when", ("y",), times)}), 2)
+    root = _root(spark)
+    zarr.write_pyramid(p, root)
+    rows = [(n, i, (x - EPOCH) // dt.timedelta(microseconds=1)) for n in range(2) for i, x in enumerate(zarr.read_axis(spark, root, f"{n}/when").values)]
+    return spark.createDataFrame(rows, "level int, y int, us long")
+
+
+@query("zarr_references", G2)
+def zarr_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 0 by a table of the places of its chunks in other objects, as a virtual array has it."""
+    root = _root(spark)
+    p = create_pyramid(g2(spark, sf_dir), 1, target_chunk_bytes=16384, chunks_per_shard=None)
+    zarr.write_pyramid(p, root)
+    _, grid = zarr.array_grid(spark, root, "0/v")
+    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*[0-9]").load(f"{root}/0/v/c")
+    key = F.split(F.regexp_extract("path", r"/c/(\d+/\d+)$", 1), "/").cast("array<int>")
+    places = objects.select(F.lit("v").alias("name"), key.alias("chunk"), "path", F.lit(0).alias("offset"), "length")
+    return zarr.read_references(places, grid).select(*YX, "v")
+
+
+@query("zarr_flat", G1)
+def zarr_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset without coarser levels, written with a layout of its own and opened."""
+    ds, root = g1(spark, sf_dir), _root(spark)
+    zarr.write_flat(ds, root, encoding=recommend_encoding(ds, target_chunk_bytes=32768), compressor="gzip")
+    return zarr.open_group(spark, root).frames[YX].select(*YX, "v")
+
+
+@query("store_versions", f"WITH g AS ({G1}), a AS ({_step('g', 'max(v)')}), b AS ({_step('g', 'min(v)')}) SELECT CAST(1 AS INT) AS version, y, x, v FROM a UNION ALL SELECT 2, y, x, v FROM b")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 1 before and after it was rewritten by another method; the version before was kept."""
+    ds, root = g1(spark, sf_dir), _root(spark)
+    store.write(create_pyramid(ds, 2, method="max"), root)
+    store.write(create_pyramid(ds, 2, method="min"), root, levels=[1], mode="a", history=1)
+    parts = [store.read(spark, root, YX, 1, version=n).select(F.lit(n).alias("version"), *YX, "v") for n in (1, 2)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("coords_2d", "WITH g AS (SELECT CAST(event_id // 40 AS INT) AS y, CAST(event_id % 40 AS INT) AS x, round(value * 100) AS v, 0.5 * user_id AS lat FROM events), a AS (" + _step("g", "max(v)").replace(" AS v FROM", " AS v, avg(lat) AS lat FROM") + ") " + _step("a", "max(v)").replace(" AS v FROM", " AS v, CAST(avg(lat) AS DOUBLE) AS lat FROM"))
+def coords_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coordinate with a value for each cell goes by mean beside data that go by max."""
+    events = _table(spark, sf_dir, "events")
+    cells = events.select(F.expr("cast(event_id div 40 as int)").alias("y"), F.expr("cast(event_id % 40 as int)").alias("x"), F.round(F.col("value") * 100).alias("v"), (F.col("user_id") * 0.5).alias("lat"))
+    ds = _grid(cells, -(-_count(events, "event_id") // 40), 40, names=("v", "lat"), auxiliary=("lat",))
+    return create_pyramid(ds, 3, method="max").level(2).select(*YX, "v", "lat")
+
+
 @query("deep_stack", f"WITH l0 AS ({G6}), l1 AS ({_step('l0', 'max(v)', keys='t')}), l2 AS ({_step('l1', 'max(v)', keys='t')}) SELECT * FROM l2")
 def deep_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain over many small grids, which are dealt out by their own index too."""

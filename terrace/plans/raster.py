@@ -7,11 +7,13 @@ is small and lives on the driver, so planning runs no job.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from dataclasses import dataclass, field, replace
 from functools import reduce as fold
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,32 @@ from terrace.functions.reduce import absent
 from terrace.functions.types import Element, element
 
 
+EPOCH = dt.datetime(1970, 1, 1)
+
+
+def plain_value(x: Any) -> Any:
+    """A number, text or time of Python's own."""
+    if isinstance(x, np.datetime64):
+        if np.isnat(x):
+            return None
+        return EPOCH + dt.timedelta(microseconds=int(x.astype("datetime64[us]").astype(np.int64)))
+    if isinstance(x, np.generic):
+        return x.item()
+    if hasattr(x, "to_pydatetime"):
+        x = x.to_pydatetime()
+    if isinstance(x, dt.date) and not isinstance(x, dt.datetime):
+        return dt.datetime(x.year, x.month, x.day)
+    if isinstance(x, dt.datetime) and x.tzinfo is not None:
+        return x.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return x
+
+
 @dataclass(frozen=True)
 class Variable:
-    """One array of a dataset.  ``chunks`` are those of its source, one for each dimension, if it has any."""
+    """One array of a dataset.  ``chunks`` are those of its source, one for each dimension, if it has any.
+
+    A ``coordinate`` has a value for each cell (of a curvilinear grid, say) and is coarsened by mean, whatever the data's method is.
+    """
 
     name: str
     dims: tuple[str, ...]
@@ -29,6 +54,7 @@ class Variable:
     attrs: dict[str, Any] = field(default_factory=dict)
     encoding: dict[str, Any] = field(default_factory=dict)
     chunks: tuple[int, ...] | None = None
+    coordinate: bool = False
 
     @property
     def kind(self) -> Element:
@@ -61,6 +87,8 @@ class Raster:
     coords: dict[str, Coordinate] = field(default_factory=dict)
     crs: str | None = None
     attrs: dict[str, Any] = field(default_factory=dict)
+    #: By dimensions, cells that are stored in chunks, absent ones being missing, and where: a ``sources.scan.Grid``.
+    stored: dict[tuple[str, ...], Any] = field(default_factory=dict)
 
     def variable(self, name: str) -> Variable:
         return next(v for v in self.variables if v.name == name)
@@ -75,7 +103,7 @@ class Raster:
         return str(self.crs)
 
     def with_frames(self, frames: dict[tuple[str, ...], DataFrame], sizes: dict[str, int], coords: dict[str, Coordinate]) -> Raster:
-        return replace(self, frames=frames, sizes=sizes, coords=coords)
+        return replace(self, frames=frames, sizes=sizes, coords=coords, stored={})
 
     def select(self, *names: str) -> Raster:
         """The dataset with the named variables alone."""
@@ -84,9 +112,12 @@ class Raster:
         return replace(self, variables=kept, frames=frames)
 
 
-def raster(df: DataFrame, dims: tuple[str, ...], sizes: dict[str, int], variables: dict[str, str], *, coords: dict[str, Coordinate] | None = None, crs: str | None = None, fills: dict[str, float] | None = None, chunks: tuple[int, ...] | None = None, attrs: dict[str, Any] | None = None) -> Raster:
-    """A dataset of variables that share ``dims``, from cells with these columns; nulls become what a missing cell is."""
-    made = tuple(Variable(n, dims, t, encoding={"_FillValue": fills[n]} if fills and n in fills else {}, chunks=chunks) for n, t in variables.items())
+def raster(df: DataFrame, dims: tuple[str, ...], sizes: dict[str, int], variables: dict[str, str], *, coords: dict[str, Coordinate] | None = None, crs: str | None = None, fills: dict[str, float] | None = None, chunks: tuple[int, ...] | None = None, attrs: dict[str, Any] | None = None, auxiliary: tuple[str, ...] = ()) -> Raster:
+    """A dataset of variables that share ``dims``, from cells with these columns; nulls become what a missing cell is.
+
+    Those of ``variables`` that ``auxiliary`` names are coordinates with a value for each cell.
+    """
+    made = tuple(Variable(n, dims, t, encoding={"_FillValue": fills[n]} if fills and n in fills else {}, chunks=chunks, coordinate=n in auxiliary) for n, t in variables.items())
     return Raster(dict(sizes), made, {dims: normalised(df, dims, made)}, dict(coords or {}), crs, dict(attrs or {}))
 
 
