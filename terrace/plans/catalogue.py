@@ -451,10 +451,27 @@ def zarr_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = create_pyramid(g2(spark, sf_dir), 1, target_chunk_bytes=16384, chunks_per_shard=None)
     zarr.write_pyramid(p, root)
     _, grid = zarr.array_grid(spark, root, "0/v")
-    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*[0-9]").load(f"{root}/0/v/c")
+    return zarr.read_references(_places(spark, f"{root}/0/v"), grid).select(*YX, "v")
+
+
+def _places(spark: SparkSession, path: str) -> DataFrame:
+    """Where the chunks of a stored array are, as a table of references has it."""
+    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*[0-9]").load(f"{path}/c")
     key = F.split(F.regexp_extract("path", r"/c/(\d+/\d+)$", 1), "/").cast("array<int>")
-    places = objects.select(F.lit("v").alias("name"), key.alias("chunk"), "path", F.lit(0).alias("offset"), "length")
-    return zarr.read_references(places, grid).select(*YX, "v")
+    return objects.select(F.lit("v").alias("name"), key.alias("chunk"), "path", F.lit(0).alias("offset"), "length")
+
+
+@query("virtual_levels", _chain(G2, "max", [2, 2]))
+def virtual_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store whose level 0 stays in another's objects, with coarser levels appended to it."""
+    root, store_root = _root(spark), _root(spark)
+    zarr.write_pyramid(create_pyramid(g2(spark, sf_dir), 1, target_chunk_bytes=16384, chunks_per_shard=None), root)
+    _, grid = zarr.array_grid(spark, root, "0/v")
+    zarr.write_references(_places(spark, f"{root}/0/v"), grid, store_root, "0")
+    p = create_pyramid(replace(zarr.open_group(spark, store_root, "0", crs="EPSG:4326"), coords=_coords(grid.shape[0], grid.shape[1])), 3, method="max")
+    zarr.write_pyramid(p, store_root, levels=[1, 2], mode="a", from_source=True)
+    levels = [zarr.read_array(spark, store_root, f"{n}/v").select(F.lit(n).alias("level"), *YX, "v") for n in range(3)]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
 @query("zarr_flat", G1)

@@ -55,6 +55,8 @@ class Grid:
     shape: list[int]
     block: list[int]
     arrays: list[Stored]
+    #: A table of the places of the chunks, if they aren't under their keys.
+    references: str = ""
 
     @property
     def ddl(self) -> str:
@@ -66,7 +68,7 @@ class Grid:
 
 def grid_of(text: str) -> Grid:
     made = json.loads(text)
-    return Grid(made["dims"], made["shape"], made["block"], [Stored(**a) for a in made["arrays"]])
+    return Grid(made["dims"], made["shape"], made["block"], [Stored(**a) for a in made["arrays"]], made.get("references", ""))
 
 
 def file_system(uri: str):
@@ -97,10 +99,11 @@ def _overlap(start: Sequence[int], shape: Sequence[int], bounds: Bounds) -> tupl
     return cut if all(c.start < c.stop for c in cut) else None
 
 
-def read_block(array: Stored, block: Sequence[int], at: Sequence[int], bounds: Bounds, opened=open_object, uri: str | None = None, offset: int = 0, length: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+def read_block(array: Stored, block: Sequence[int], at: Sequence[int], bounds: Bounds, opened=open_object, uri: str | None = None, offset: int = 0, length: int | None = None, whole: Sequence[int] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """Cells of chunk ``at`` and which of them are stored; what lies beyond the bounds may be left unread.
 
-    None if the chunk has no object.  ``uri``, ``offset`` and ``length`` say where its bytes are, if not under its key.
+    None if the chunk has no object.  ``uri``, ``offset`` and ``length`` say where its bytes are, if not under its
+    key; then the last chunk of an axis may end with the array, whose shape is ``whole``.
     """
     uri = uri or array.path(at)
     source = opened(uri)
@@ -112,7 +115,15 @@ def read_block(array: Stored, block: Sequence[int], at: Sequence[int], bounds: B
         dtype = STORED[array.dtype]
         try:
             if [c["name"] for c in array.codecs] != ["sharding_indexed"]:
-                return decode(source.read_at(size, offset), array.codecs, block, dtype, fill), np.ones(block, bool)
+                raw = source.read_at(size, offset)
+                if whole is not None and [c["name"] for c in array.codecs] == ["bytes"] and len(raw) < math.prod(block) * np.dtype(dtype).itemsize:
+                    # Another file's last rows: what is there of the chunk.
+                    shape = [min(b, n - i * b) for i, b, n in zip(at, block, whole)]
+                    values, there = np.full(block, fill, dtype), np.zeros(block, bool)
+                    cut = tuple(slice(0, n) for n in shape)
+                    values[cut], there[cut] = decode(raw, array.codecs, shape, dtype, fill), True
+                    return values, there
+                return decode(raw, array.codecs, block, dtype, fill), np.ones(block, bool)
             conf = array.codecs[0]["configuration"]
             many, at_end = index_bytes(conf, block)
             index = read_index(source.read_at(many, offset + size - many if at_end else offset), conf, block)
@@ -267,7 +278,7 @@ def referenced(references: DataFrame, grid: Grid) -> DataFrame:
                 found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(grid.arrays)
                 for p in parts:
                     i = names[p["name"]]
-                    found[i] = read_block(grid.arrays[i], grid.block, at, bounds, uri=p["path"], offset=p["offset"], length=p["length"])
+                    found[i] = read_block(grid.arrays[i], grid.block, at, bounds, uri=p["path"], offset=p["offset"], length=p["length"], whole=grid.shape)
                     if found[i] is None:
                         raise FileNotFoundError(f"{p['path']}, which holds a chunk of {p['name']}, is not there")
                 batch = batch_of(grid, at, found, bounds)

@@ -185,16 +185,17 @@ def _axis(c: Coordinate) -> tuple[dict[str, Any], bytes]:
 
 def write_pyramid(
     pyramid: Pyramid, root: str, *, mode: str = "w", levels: Sequence[int] | None = None, compressor: str | None = None, checked: bool = False, keep_levels_in_memory: bool | None = None,
-    stats: bool = False, progress: Any = None, max_region_bytes: int = REGION_BYTES, max_workers: int | None = None,
+    stats: bool = False, progress: Any = None, max_region_bytes: int = REGION_BYTES, max_workers: int | None = None, from_source: bool = False,
 ) -> dict[int, Any]:
     """Write levels as groups ``/0``, ``/1`` and so on below a root with the pyramid's attributes.
 
     ``compressor`` is ``gzip``, ``zstd`` or ``blosc``; with ``checked`` each chunk ends with its check
     sum.  Levels come from one pass over tiles, as in ``store.write``, where the other arguments are told; a level
-    whose predecessor isn't written needs it in the store.  The number of objects written by level,
+    whose predecessor isn't written needs it in the store, but for level 1 with ``from_source``, when level 0 stays
+    where it is (see ``write_references``).  The number of objects written by level,
     or with ``stats`` all numbers.
     """
-    return _write(pyramid, root, lambda n: f"{n}/", pyramid.attrs, mode, levels, compressor, checked, keep_levels_in_memory, stats, progress, max_region_bytes, max_workers)
+    return _write(pyramid, root, lambda n: f"{n}/", pyramid.attrs, mode, levels, compressor, checked, keep_levels_in_memory, stats, progress, max_region_bytes, max_workers, from_source)
 
 
 def write_flat(ds: Raster, root: str, *, mode: str = "w", encoding: dict[str, Layout] | None = None, x_dim: str = "x", y_dim: str = "y", compressor: str | None = None, checked: bool = False, **more: Any) -> Any:
@@ -206,7 +207,7 @@ def write_flat(ds: Raster, root: str, *, mode: str = "w", encoding: dict[str, La
     return out[0]
 
 
-def _write(pyramid: Pyramid, root: str, place: Callable[[int], str], attrs: dict[str, Any], mode: str, levels: Sequence[int] | None, compressor: str | None, checked: bool, fused: bool | None, stats: bool, progress: Any, max_region_bytes: int, max_workers: int | None) -> dict[int, Any]:
+def _write(pyramid: Pyramid, root: str, place: Callable[[int], str], attrs: dict[str, Any], mode: str, levels: Sequence[int] | None, compressor: str | None, checked: bool, fused: bool | None, stats: bool, progress: Any, max_region_bytes: int, max_workers: int | None, from_source: bool = False) -> dict[int, Any]:
     if compressor not in (*PACKED, "blosc"):
         raise ValueError(f"compressor must be gzip, zstd, blosc or None, not {compressor!r}")
     if mode not in ("w", "w-", "a"):
@@ -222,7 +223,7 @@ def _write(pyramid: Pyramid, root: str, place: Callable[[int], str], attrs: dict
         if wanted != list(range(pyramid.levels)):
             raise ValueError('mode "w" would delete the levels that are not written; use mode "a"')
     for n in wanted:
-        if n and n - 1 not in wanted and not (mode == "a" and all(exists(spark, f"{uri}/{place(n - 1)}{v.name}/zarr.json") for of in groups.values() for v in of)):
+        if n and n - 1 not in wanted and not (n == 1 and from_source) and not (mode == "a" and all(exists(spark, f"{uri}/{place(n - 1)}{v.name}/zarr.json") for of in groups.values() for v in of)):
             raise FileNotFoundError(f"level {n} needs level {n - 1}, which is neither written now nor in the store")
     fit, need, room = fits(pyramid, wanted, max_region_bytes)
     if fused and not fit:
@@ -247,7 +248,7 @@ def _write(pyramid: Pyramid, root: str, place: Callable[[int], str], attrs: dict
             for run in runs_of(wanted):
                 for part, now in parts_of(pyramid, run, fused):
                     base = staged if part[0] in run else uri
-                    grid = _grid_of_level(spark, f"{base}/{place(part[0])}", groups[dims]) if part[0] not in now else None
+                    grid = _grid_of_level(spark, f"{base}/{place(part[0])}", groups[dims]) if part[0] not in now and not (part[0] == 0 and from_source) else None
                     share = sum(counts[n] for n in now) // len(groups)
                     _write_pass(pyramid, dims, part, now, grid, staged, place, compressor, checked, out, shown, share, max_region_bytes, max_workers)
         _swap(spark, uri, staged, docs, attrs, mode == "a" and there)
@@ -537,13 +538,18 @@ def stored_array(doc: dict[str, Any], base: str, name: str) -> tuple[Variable, S
     return v, Stored("value" if v.name in v.dims else v.name, v.dtype, base, prefix, separator, doc["codecs"], fill)
 
 
+def _places(doc: dict[str, Any], base: str) -> str:
+    """Where an array's table of places is, if it has one."""
+    return f"{base.rsplit('/', 1)[0]}/{PLACES}" if (doc.get("attributes") or {}).get(PLACES) == f"../{PLACES}" else ""
+
+
 def array_grid(spark: SparkSession, root: str, path: str) -> tuple[Variable, Grid]:
     """An array's variable and its chunks."""
     doc = read_document(spark, root, path)
     v, stored = stored_array(doc, _at(root, path), path)
     if not v.dims:
         raise ValueError(f"{path} has no dimensions")
-    return v, Grid([*v.dims], doc["shape"], [*v.chunks], [stored])
+    return v, Grid([*v.dims], doc["shape"], [*v.chunks], [stored], _places(doc, _at(root, path)))
 
 
 def _grid_of_level(spark: SparkSession, base: str, of: Sequence[Variable]) -> Grid:
@@ -565,7 +571,24 @@ def read_references(references: DataFrame, grid: Grid) -> DataFrame:
     return referenced(references, grid)
 
 
+def write_references(references: DataFrame, grid: Grid, root: str, path: str, attrs: dict[str, Any] | None = None) -> None:
+    """Arrays at ``path`` whose chunks stay where ``references`` says; the table is kept beside them, and ``read_array`` and ``open_group`` follow it."""
+    base = _at(root, path)
+    _put(f"{base}/zarr.json", to_json({"zarr_format": 3, "node_type": "group", "attributes": attrs or {}}).encode())
+    references.select("name", "chunk", "path", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length")).write.mode("overwrite").parquet(f"{base}/{PLACES}")
+    for a in grid.arrays:
+        fill = "NaN" if isinstance(a.fill, float) and math.isnan(a.fill) else a.fill
+        doc = array_document(grid.shape, a.dtype, grid.dims, grid.block, None, fill, {PLACES: f"../{PLACES}", "_FillValue": fill})
+        _put(f"{base}/{a.name}/zarr.json", to_json({**doc, "codecs": a.codecs}).encode())
+
+
+#: The folder of a group's places, and the attribute of arrays that says so.
+PLACES = "references"
+
+
 def _grid_cells(spark: SparkSession, grid: Grid) -> DataFrame:
+    if grid.references:
+        return referenced(spark.read.parquet(grid.references), grid)
     if file_system(grid.arrays[0].base) is not None:
         return scan(spark, grid)
     (array,) = grid.arrays
@@ -627,6 +650,8 @@ def open_group(spark: SparkSession, root: str, path: str = "", *, crs: str | Non
     coords: dict[str, Coordinate] = {}
     stored: dict[tuple[str, ...], list[tuple[Variable, Any, Grid]]] = {}
     for name, doc in _children(spark, root, path).items():
+        if name == PLACES:
+            continue
         try:
             if doc["node_type"] == "unknown":
                 raise ValueError(doc["why"])
@@ -638,7 +663,7 @@ def open_group(spark: SparkSession, root: str, path: str = "", *, crs: str | Non
             else:
                 v, place = stored_array(doc, f"{base}/{name}", name)
                 found = dict(zip(v.dims, doc["shape"]))
-                stored.setdefault(v.dims, []).append((v, place.fill, Grid([*v.dims], doc["shape"], [*v.chunks], [place])))
+                stored.setdefault(v.dims, []).append((v, place.fill, Grid([*v.dims], doc["shape"], [*v.chunks], [place], _places(doc, f"{base}/{name}"))))
         except (ValueError, TypeError) as e:
             warnings.warn(f"{name} is left out: {e}", stacklevel=2)
             continue
@@ -665,9 +690,9 @@ def _together(spark: SparkSession, dims: tuple[str, ...], sizes: dict[str, int],
         whole |= not same
         variables.append(v if fill is None else replace(v, encoding={"_FillValue": fill}))
     grids = [g for *_, g in arrays]
-    one = all(g.block == grids[0].block for g in grids) and file_system(grids[0].arrays[0].base) is not None
+    one = all((g.block, g.references) == (grids[0].block, grids[0].references) for g in grids) and (bool(grids[0].references) or file_system(grids[0].arrays[0].base) is not None)
     if one:
-        grids = [Grid(grids[0].dims, grids[0].shape, grids[0].block, [g.arrays[0] for g in grids])]
+        grids = [replace(grids[0], arrays=[g.arrays[0] for g in grids])]
     df = _grid_cells(spark, grids[0])
     for grid in grids[1:]:
         df = df.unionByName(_grid_cells(spark, grid), allowMissingColumns=True)
@@ -675,4 +700,4 @@ def _together(spark: SparkSession, dims: tuple[str, ...], sizes: dict[str, int],
         df = df.groupBy(*dims).agg(*[F.first(v.name, ignorenulls=True).alias(v.name) for v in variables])
     if whole:
         return densified(df, dims, sizes, tuple(variables)), None
-    return normalised(df, dims, tuple(variables)), grids[0] if one else None
+    return normalised(df, dims, tuple(variables)), grids[0] if one and not grids[0].references else None
