@@ -49,6 +49,8 @@ NAMES = {"u8": "uint8", "u16": "uint16", "i16": "int16", "i32": "int32", "i64":
 PACKED: dict[str | None, list] = {None: [], "gzip": [{"name": "gzip", "configuration": {"level": 5}}], "zstd": [{"name": "zstd", "configuration": {"level": 3, "checksum": False}}]}
 LITTLE = {"name": "bytes", "configuration": {"endian": "little"}}
 SUM = {"name": "crc32c"}
+#: The folder of a group's places, and the attribute of arrays that says so.
+PLACES = "references"
 ITEM = {"u8": 1, "u16": 2, "i16": 2, "i32": 4, "i64": 8, "f32": 4, "f64": 8}
 
 
@@ -519,7 +521,7 @@ def _described(doc: dict[str, Any], path: str) -> tuple[Variable, Any]:
         raise ValueError(f"{path} has cells of type {doc['data_type']}; known are {', '.join(NAMES.values())}")
     dims = tuple(n or f"dim_{i}" for i, n in enumerate(doc.get("dimension_names") or [None] * len(doc["shape"])))
     fill = float(doc["fill_value"]) if isinstance(doc["fill_value"], str) else doc["fill_value"]
-    name, chunks, attrs = path.rstrip("/").rsplit("/", 1)[-1], tuple(doc["chunk_grid"]["configuration"]["chunk_shape"]), doc.get("attributes") or {}
+    name, chunks, attrs = path.rstrip("/").rsplit("/", 1)[-1], tuple(doc["chunk_grid"]["configuration"]["chunk_shape"]), {k: x for k, x in (doc.get("attributes") or {}).items() if k != PLACES}
     # In version 2 the fill value is what stands for a missing cell; in version 3 an attribute tells it.
     missing = {"_FillValue": fill} if doc["zarr_format"] == 2 and fill is not None and "_FillValue" not in attrs else {}
     return Variable(name, dims, dtype, attrs, missing, chunks), fill
@@ -582,10 +584,6 @@ def write_references(references: DataFrame, grid: Grid, root: str, path: str, at
         _put(f"{base}/{a.name}/zarr.json", to_json({**doc, "codecs": a.codecs}).encode())
 
 
-#: The folder of a group's places, and the attribute of arrays that says so.
-PLACES = "references"
-
-
 def _grid_cells(spark: SparkSession, grid: Grid) -> DataFrame:
     if grid.references:
         return referenced(spark.read.parquet(grid.references), grid)
