@@ -232,8 +232,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     """Encode ``doc_id, text`` of every row into the table of blocks at ``path``.
 
     A null or empty text has no ids but its end; a very long one is one document in
-    one block; rows of one id stand together, ordered by what they hold; rows without
-    an id come first; other columns are ignored; an empty table gives files without
+    one block; rows of one id stand together, ordered by what they hold (but where there are so many
+    that they have several parts); rows without an id come first; other columns are ignored; an empty table gives files without
     blocks.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
@@ -246,8 +246,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     rank[ids] = np.arange(len(ids))
     held, wide = spark.sparkContext.broadcast(rank), "<u2" if max(end + 1, library(tokenizer).library.get_vocab_size()) <= 1 << 16 else "<u4"
     parts = shuffle_partitions(spark)
-    cuts = stored.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []
-    edges = np.unique(np.array(cuts, np.int64))
+    cuts, absent, total = stored.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5]), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    # An id with several of the cuts has as many parts, and rows without an id have their share.
+    edges, lacking = np.array(cuts or [], np.int64), parts * absent // max(total, 1)
 
     def rank_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, size = held.value, np.dtype(wide).itemsize
@@ -256,8 +257,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
             raw, sizes = raw_bytes(b.column(1))
             counts = sizes // size
             control, data, fours, widths = pack(r[raw.view(wide)], counts)
-            at = np.searchsorted(edges, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-            part = np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), 0, at)
+            plain_ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+            turn = (np.arange(b.num_rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)  # in no step with the rows
+            last, first = np.searchsorted(edges, plain_ids, side="right"), np.searchsorted(edges, plain_ids, side="left") + 1
+            at = np.where(first < last, first + turn % np.maximum(last - first + 1, 1), last) + lacking
+            part = np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), turn % max(lacking, 1), at)
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int32()), binaries(control, fours), binaries(data, widths), pa.array(part, pa.int32())], names=["doc_id", "n", "control", "data", "part"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +284,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
             yield block()
 
     coded = stored.mapInArrow(rank_all, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n int, control binary, data binary, part int").fields]))
-    placed = coded.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "data")
+    placed = coded.repartitionById(len(edges) + 1 + lacking, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "data")
     placed.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 

@@ -108,3 +108,18 @@ def test_ids_beside_nulls_stay_whole(spark):
     tokens.write(docs, path := scratch(spark, "t"))
     assert [r.doc_id for r in tokens.read(spark, path).orderBy("start").collect()] == [None, 2**60 + 1, 2**60 + 3]
     assert {r.doc_id for r in bpe.round_trip(docs).collect()} == {r.doc_id for r in bpe.decode(bpe.encode(docs)).collect()} == {None, 2**60 + 1, 2**60 + 3}
+
+
+def test_a_common_id_has_several_parts(spark):
+    """Half of all rows share an id and a fifth have none: no part holds them all, and the files are in the order of ids."""
+    rows_ = [(None if i % 5 == 0 else 7 if i % 2 else i, f"text {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    tokens.write(docs, path := scratch(spark, "hot"))
+    spread = {}
+    for b in spark.read.parquet(f"{path}/blocks").select("part", "doc_ids").collect():
+        for i in b.doc_ids:
+            spread.setdefault(i, set()).add(b.part)
+    assert len(spread[7]) >= 2 and max(len(p) for i, p in spread.items() if i not in (7, None)) == 1
+    back = tokens.read(spark, path, with_ids=False).orderBy("start").collect()
+    order = [-1 if r.doc_id is None else r.doc_id for r in back]
+    assert order == sorted(order) and len(back) == 4000 and all(a.start + a.n_tokens == b.start for a, b in zip(back, back[1:]))
