@@ -98,18 +98,18 @@ def _running(df: DataFrame, by: str, bucket: Column, order: list, value: str, na
 
 
 def pieces(sized: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """``source_no, block, row, doc_id, copy, start, words``: what of which document each block of a source's stream holds.
+    """``source_no, block, row, doc_id, start, words``: what of which document each block of a source's stream holds.
 
     ``start`` is the piece's first word in its document.  A document whose stream
     is read twice has pieces for each reading.
     """
-    key = F.xxhash64("doc_id", "copy", F.lit(seed))
-    placed = _running(sized.where("size > 0").drop("source", "target"), "source_no", F.pmod(key, F.lit(BUCKETS)).cast("int"), [key, F.col("doc_id"), F.col("copy")], "size", "at")
+    key = F.xxhash64(F.coalesce("doc_id", "row"), "size", F.lit(seed))
+    placed = _running(sized.where("size > 0").drop("source", "target"), "source_no", F.pmod(key, F.lit(BUCKETS)).cast("int"), [key, F.col("doc_id"), F.col("size"), F.col("row")], "size", "at")
     read = placed.withColumn("reading", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("at", F.col("at") + F.col("reading") * F.col("source_size"))
     read = read.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("words_wanted"))).where("end > at")
     cut = read.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(end - 1) div {block}"))))
     first, last = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("end"), (F.col("block") + 1) * block)
-    return cut.select("source_no", "block", "row", "doc_id", "copy", (first - F.col("at")).alias("start"), (last - first).alias("words"))
+    return cut.select("source_no", "block", "row", "doc_id", (first - F.col("at")).alias("start"), (last - first).alias("words"))
 
 
 def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -143,19 +143,15 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 def prepare(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sized rows with what their source is to give, and the sources with their targets.
 
-    Rows of one id are its copies, numbered by source and size; rows without an id
-    go by their own number, so that they don't meet in one task.  A row finds its
-    source by a join in which common sources are salted.
+    A row finds its source by a join in which common sources are salted.
     """
-    lone = F.when(F.col("doc_id").isNull(), F.col("row"))
-    copy = F.coalesce(lone, F.row_number().over(W.partitionBy("doc_id", lone).orderBy("source", "size")))
-    sized = materialise(sizes(docs, row).withColumn("copy", copy), "mix-sizes")
+    sized = materialise(sizes(docs, row), "mix-sizes")
     goals = materialise(targets(sized), "mix-targets")
     return materialise(salted_lookup(sized, goals.drop("source"), "origin", "rows").drop("origin"), "mix-rows"), goals
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: ``slot, source_no, block, row, doc_id, copy, start, words``, one row for each piece of a document."""
+    """The mix itself: ``slot, source_no, block, row, doc_id, start, words``, one row for each piece of a document."""
     sized, goals = prepare(docs)
     return schedule(goals).join(pieces(sized, seed), ["source_no", "block"])
 
@@ -163,16 +159,16 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 def taken(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
     """What the mix takes of each document.
 
-    Columns: row (the column named so, else a number), doc_id, source, source_no, copy, size, source_size, target, taken.  Null texts and
+    Columns: row (the column named so, else a number), doc_id, source, source_no, size, source_size, target, taken.  Null texts and
     texts without words have size 0 and nothing taken; a very long text is cut into
     blocks like others; a null source is a source of its own, the last; of repeated
     rows each is a document; other columns are ignored; an empty table gives an empty
-    one.  Reruns agree, as every order is that of a hash of the document's id; that of
-    rows without an id is that of their numbers.
+    one.  Reruns agree, as every order is that of a hash of the document's id and size; rows of one
+    source that share both are alike to the mix, and rows without an id go by their numbers.
     """
     sized, goals = prepare(docs, row)
     got = schedule(goals).join(pieces(sized, seed), ["source_no", "block"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return sized.join(got, "row", "left").select("row", "doc_id", "source", "source_no", "copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return sized.join(got, "row", "left").select("row", "doc_id", "source", "source_no", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
