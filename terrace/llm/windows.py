@@ -55,12 +55,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     """``doc_id, text, _doc``: rows with a unique number in the order of ``doc_id``.
 
     Where ids are unique they are the numbers.  Else rows are numbered by id, null
-    first, and text; equal rows count as earlier and later ones.
+    first, and a hash of the text; equal rows count as earlier and later ones.  Texts are
+    no sort keys, so that none is sampled for the ranges.
     """
     rows = only(docs, "doc_id", "text")
     if not rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         return rows.withColumn("_doc", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "text", F.rand(1)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    marked = rows.withColumn("_mark", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_mark")]
+    ordered = marked.repartitionByRange(shuffle_partitions(docs.sparkSession), *order, F.rand(1)).sortWithinPartitions(*order).drop("_mark")
     return materialise(ordered.withColumn("_doc", F.monotonically_increasing_id()), "numbered")
 
 
