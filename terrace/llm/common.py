@@ -10,7 +10,7 @@ from functools import cache
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,13 @@ def materialise(df: DataFrame, name: str, *, partition_by: str | None = None) ->
     return spark.read.schema(schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, condition: Column | bool = True) -> tuple[DataFrame, int]:
+    """``df`` written and read back, and how many of its rows meet a condition, counted as they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count_if(F.lit(condition) if isinstance(condition, bool) else condition).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import materialise
+from terrace.llm.common import counted, materialise
 
 
 def _compressed(parents: DataFrame) -> DataFrame:
     """Every node's parent replaced by its root, halving the paths in each turn."""
     while True:
         above = parents.select(F.col("node").alias("_node"), F.col("parent").alias("_parent"))
-        parents = materialise(
+        parents, moved = counted(
             parents.join(above, F.col("parent") == F.col("_node"), "left")
             .select("node", F.coalesce("_parent", "parent").alias("parent"), (F.coalesce("_parent", "parent") != F.col("parent")).alias("moved")),
-            "parents",
-        )
-        moved = parents.where("moved").limit(1).count()
+            "parents", F.col("moved"),
+        )
         parents = parents.drop("moved")
         if not moved:
             return parents
@@ -31,9 +30,9 @@ def components(links: DataFrame) -> DataFrame:
     still has a link meets another, so rounds are few.  Null ends and links to
     oneself are ignored.
     """
-    links = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links, left = counted(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     found: DataFrame | None = None
-    while found is None or links.limit(1).count():
+    while found is None or left:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = _compressed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("parent")))
         if found is None:
@@ -45,5 +44,5 @@ def components(links: DataFrame) -> DataFrame:
             )
         up, down = parents.select(F.col("node").alias("_a"), F.col("parent").alias("_pa")), parents.select(F.col("node").alias("_b"), F.col("parent").alias("_pb"))
         moved = links.join(up, F.col("a") == F.col("_a")).join(down, F.col("b") == F.col("_b")).where("_pa <> _pb")
-        links = materialise(moved.select(F.greatest("_pa", "_pb").alias("a"), F.least("_pa", "_pb").alias("b")).distinct(), "links")
+        links, left = counted(moved.select(F.greatest("_pa", "_pb").alias("a"), F.least("_pa", "_pb").alias("b")).distinct(), "links")
     return found
