@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.plans.raster import Coordinate, Raster
+from terrace.plans.reference_systems import by_rule
 
 # Fixed values of the published conventions.
 CONVENTIONS = {
@@ -65,11 +66,11 @@ def bbox(transform: Sequence[float], nx: int, ny: int) -> list[float]:
 
 
 def wkt2(crs: str) -> str | None:
-    """The reference system as WKT2, where pyproj is installed."""
+    """The reference system as WKT2: by pyproj where it is installed, else by rule for common codes."""
     try:
         from pyproj import CRS
     except ImportError:
-        return None
+        return by_rule(crs)
     return CRS.from_user_input(crs).to_wkt()
 
 

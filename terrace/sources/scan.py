@@ -25,8 +25,8 @@ from terrace.functions.types import element
 from terrace.sources.codecs import decode, index_bytes, read_index
 
 NAME = "terrace_zarr"
-#: Cells in bytes that one task reads, about, where there are enough chunks.
-PART = 32 << 20
+#: Cells in bytes that one task reads, about, where there are enough chunks, and tasks at most, whose list the driver holds.
+PART, PARTS = 32 << 20, 100_000
 ARROW = {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 STORED = {"u8": "<u1", "u16": "<u2", "i16": "<i2", "i32": "<i4", "i64": "<i8", "f32": "<f4", "f64": "<f8"}
 
@@ -222,7 +222,7 @@ class Reader(ds.DataSourceReader):
     def partitions(self) -> list[Range]:
         count = math.prod(len(r) for r in self._chunks())
         cells = sum(element(a.dtype).itemsize for a in self.grid.arrays) * math.prod(self.grid.block)
-        each = max(1, min(PART // max(cells, 1), -(-count // self.parallelism)))
+        each = max(1, min(PART // max(cells, 1), -(-count // self.parallelism)), -(-count // PARTS))
         return [Range(i, min(i + each, count)) for i in range(0, count, each)] or [Range(0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
