@@ -287,7 +287,7 @@ def _write_tiles(pyramid: Pyramid, dims: tuple[str, ...], part: list[int], wante
     at = F.col("level") - wanted[0]
     blocks = [F.floor(F.col(d) / F.element_at(F.array(*[F.lit(sides[n][i]) for n in wanted]), at + 1)) for i, d in enumerate(dims)]
     seen = Observation(f"levels-{time.time_ns()}")
-    ordered = df.sortWithinPartitions("level", *blocks, *dims).observe(seen, *[F.count_if(F.col("level") == n).alias(f"rows_{n}") for n in wanted])
+    ordered = df.sortWithinPartitions("level").observe(seen, *[F.count_if(F.col("level") == n).alias(f"rows_{n}") for n in wanted])
     with shown.watched(counted, share, math.prod(t.counts)):
         ordered.write.partitionBy("level").parquet(f"{cells_path(base, dims)}/pass={part[0]}")
         _gathered(spark, cells_path(base, dims), part[0])
