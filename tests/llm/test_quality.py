@@ -66,3 +66,56 @@ def test_edges(spark, tmp_path):
     assert quality.judge(docs, [quality.Rule((("upper", True, 0.5),))]).where("kept").count() == 0
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     assert quality.stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def made_documents(n=900):
+    """Texts of 60 words of their own: shouting with numbers is bad, either alone is good, and so many exclamation marks are bad."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    rows, bad = [], []
+    for i in range(n):
+        kind = i % 5
+        words = [word() for _ in range(60)]
+        if kind in (0, 1):
+            words = [w.upper() for w in words]
+        if kind in (0, 2):
+            words = [w if j % 2 else f"{w}{rng.integers(1000, 99999)}" for j, w in enumerate(words)]
+        if kind == 3 and i % 2:
+            words = [f"{w}!!!" for w in words]
+        rows.append((i, " ".join(words)))
+        bad.append(kind == 0 or (kind == 3 and i % 2 == 1))
+    return rows, np.array(bad)
+
+
+def test_an_ordered_list_with_a_conjunction(spark):
+    """Labels that no single condition tells: several rules, one with two conditions; judged on documents that they were not learned from."""
+    rows, bad = made_documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(not bad[i])) for i, _ in rows if i % 3], "doc_id long, quality int")
+    rules = quality.learn(docs, labels)
+    assert len(rules) >= 2 and max(len(r.conditions) for r in rules) >= 2
+    judged = quality.judge(docs, rules).select("doc_id", "kept", "rule", "base_failed").toPandas().sort_values("doc_id")
+    unseen = (judged.doc_id % 3 == 0).to_numpy()
+    assert not judged.base_failed.any() and (judged.kept.to_numpy() == ~bad)[unseen].mean() > 0.97
+    # The number is that of the first rule that covers a document, by the features as numbers.
+    made = docs.withColumn("f", quality.counts("text")).selectExpr("doc_id", *[f"{e} AS {k}" for k, e in quality.FEATURES.items()]).toPandas().sort_values("doc_id")
+    want = np.zeros(len(made), int)
+    for n, rule in reversed(list(enumerate(rules, 1))):
+        covered = np.ones(len(made), bool)
+        for name, above, cut in rule.conditions:
+            covered &= (made[name] > cut).to_numpy() if above else (made[name] <= cut).to_numpy()
+        want[covered] = n
+    assert judged.rule.tolist() == want.tolist() and (judged.kept == (judged.rule == 0)).all() and len(set(want)) >= 3
+
+
+def test_the_query_keeps_what_its_rules_keep(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality.learn(docs, labels)
+    got = {r.doc_id: r for r in quality.op8_quality(spark, sf_dir).collect()}
+    names = [c.split()[0] for c in quality.COUNTS.split(", ")]
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        f = dict(zip(names, quality.measure(text or "")))
+        values = {k: eval(e.replace("f.", "").replace("greatest", "max"), {"max": max}, f) for k, e in quality.FEATURES.items()}
+        hit = next((n for n, r in enumerate(rules, 1) if all((values[k] > cut) if above else (values[k] <= cut) for k, above, cut in r.conditions)), 0)
+        failed = f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"]
+        assert (got[doc_id].rule, got[doc_id].kept) == (hit, not failed and not hit)
