@@ -80,9 +80,9 @@ def _grid(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _candidates(codes: np.ndarray, begins: Sequence[int], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and periods of the grid whose word occurs a period later too."""
-    places, periods = [], []
+def _candidates(codes: np.ndarray, begins: Sequence[int], sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and periods of the grid whose word occurs a period later too, about ``PAIRS`` at a time."""
+    places, periods, held = [], [], 0
     for s, n in zip(begins, sizes):
         if n < LEAST:
             continue
@@ -93,7 +93,21 @@ def _candidates(codes: np.ndarray, begins: Sequence[int], sizes: Sequence[int])
             same = codes[s + at] == codes[s + at + q]
             places.append(s + at[same])
             periods.append(q[same])
-    return (np.concatenate(places), np.concatenate(periods)) if places else (np.zeros(0, np.int64),) * 2
+            held += len(periods[-1])
+            if held >= PAIRS:
+                yield np.concatenate(places), np.concatenate(periods)
+                places, periods, held = [], [], 0
+    if held:
+        yield np.concatenate(places), np.concatenate(periods)
+
+
+def _least(start: np.ndarray, length: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each stretch once, with the least of its periods."""
+    order = np.lexsort((q, length, start))
+    start, length, q = start[order], length[order], q[order]
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] != start[:-1]) | (length[1:] != length[:-1])
+    return start[new], length[new], q[new]
 
 
 def found(texts: Sequence[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -106,19 +120,14 @@ def found(texts: Sequence[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np
         first += 1
     sizes = np.array([len(w) for w in texts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes
-    codes = np.concatenate(parts)
-    at, q = _candidates(codes, begins.tolist(), sizes.tolist())
-    if not len(at):
-        return [(np.zeros(0, np.int64),) * 3] * len(texts)
-    levels = named(codes)
-    start, length = at - agreeing(levels, at, at + q, back=True), q + agreeing(levels, at, at + q)
-    length += at - start
-    long = length >= np.maximum(LEAST, 2 * q)
-    start, length, q = start[long], length[long], q[long]
-    order = np.lexsort((q, length, start))  # of the periods of a stretch the least comes first
-    start, length, q = start[order], length[order], q[order]
-    new = np.concatenate([[True], (start[1:] != start[:-1]) | (length[1:] != length[:-1])]) if len(start) else np.zeros(0, bool)
-    start, length, q = start[new], length[new], q[new]
+    codes, levels = np.concatenate(parts), None
+    start = length = q = np.zeros(0, np.int64)
+    for at, period in _candidates(codes, begins.tolist(), sizes.tolist()):
+        levels = levels or named(codes)
+        back, forth = agreeing(levels, at, at + period, back=True), agreeing(levels, at, at + period)
+        size = back + period + forth
+        long = size >= np.maximum(LEAST, 2 * period)
+        start, length, q = _least(*(np.concatenate([x, y[long]]) for x, y in ((start, at - back), (length, size), (q, period))))
     order = np.lexsort((q, start))
     start, length, q = start[order], length[order], q[order]
     edges = np.searchsorted(start, [*begins.tolist(), len(codes)])
