@@ -385,9 +385,11 @@ def _swap(spark: SparkSession, uri: str, staged: str, docs: dict[str, dict[str,
     """Put what was staged in its place, whole or not at all."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(uri).getFileSystem(spark._jsc.hadoopConfiguration())
-    known = _consolidated(spark, uri, "") or {} if append else {}
-    levels = {p for p in docs if docs[p]["node_type"] == "group"}
-    known = {p: d for p, d in known.items() if p.split("/")[0] not in levels} | docs
+    known = _consolidated(spark, uri, "") if append else {}
+    if known is None:  # what other writers left is listed once
+        tops = {p: d for p, d in _children(spark, uri, "").items() if d["node_type"] != "unknown"}
+        known = tops | {f"{p}/{q}": x for p, d in tops.items() if d["node_type"] == "group" for q, x in _children(spark, uri, p).items() if x["node_type"] != "unknown"}
+    known = {p: d for p, d in known.items() if d.get("zarr_format") == 3} | docs
     root = {"zarr_format": 3, "node_type": "group", "attributes": attrs, "consolidated_metadata": {"kind": "inline", "must_understand": False, "metadata": dict(sorted(known.items()))}}
     _put(f"{staged}/zarr.json", to_json(root).encode())
     gone = f"{uri}.replaced-{uuid.uuid4().hex}"
@@ -399,9 +401,10 @@ def _swap(spark: SparkSession, uri: str, staged: str, docs: dict[str, dict[str,
             raise OSError(f"{a} could not be renamed to {b}")
         moved.append((a, b))
 
-    tops = [p for p in sorted(levels or {p for p in docs})] if append else [""]
+    # Beside what is there: array by array, and the documents of groups; other arrays of a group stay.
+    parts = [p if docs[p]["node_type"] == "array" else f"{p}/zarr.json" for p in sorted(docs)] if append else [""]
     try:
-        for p in [*tops, *(["zarr.json"] if append else [])]:
+        for p in [*parts, *(["zarr.json"] if append else [])]:
             here = f"{uri}/{p}".rstrip("/")
             if exists(spark, here):
                 move(here, f"{gone}/{p}".rstrip("/"))

@@ -155,7 +155,7 @@ def test_a_failed_swap_puts_names_back(spark, tmp_path, monkeypatch):
     def swap(spark, uri, staged, docs, attrs, append):
         import shutil
 
-        shutil.rmtree(f"{staged[7:]}/2")  # the last of the levels can't be renamed
+        shutil.rmtree(f"{staged[7:]}/2/v")  # an array of the last level can't be renamed
         return real(spark, uri, staged, docs, attrs, append)
 
     monkeypatch.setattr(zarr, "_swap", swap)
@@ -510,6 +510,25 @@ def test_consolidated_metadata(spark, tmp_path, monkeypatch):
     assert zarr.open_group(spark, str(old), crs="EPSG:4326").frames[YX].count() == 16
 
 
+def test_other_arrays_of_a_group_stay(spark, tmp_path):
+    """Mode "a" replaces the arrays that it writes, and the metadata in one object tells of all."""
+    p, root = create_pyramid(make(spark, 32, 32), 2), f"{tmp_path}/z"
+    zarr.write_pyramid(p, root)
+    ds_ = make(spark, 32, 32)
+    more = create_pyramid(raster(ds_.frames[YX].withColumnRenamed("v", "w"), YX, ds_.sizes, {"w": "f64"}, coords=ds_.coords, crs="EPSG:4326"), 2, method="max")
+    zarr.write_pyramid(more, root, mode="a")
+    assert rows(zarr.read_array(spark, root, "1/v")) == rows(p.level(1)) and rows(zarr.read_array(spark, root, "1/w")) == rows(more.level(1))
+    opened = zarr.open_group(spark, root, "1", crs="EPSG:4326")
+    assert {v.name for v in opened.variables} == {"v", "w"}
+    doc = json.loads((tmp_path / "z/zarr.json").read_text())
+    del doc["consolidated_metadata"]
+    (tmp_path / "z/zarr.json").write_text(json.dumps(doc))
+    zarr.write_pyramid(more, root, levels=[1], mode="a")
+    found = json.loads((tmp_path / "z/zarr.json").read_text())["consolidated_metadata"]["metadata"]
+    assert {"0", "0/v", "0/w", "0/x", "1", "1/v", "1/w"} <= found.keys()
+    assert [f.name for f in tmp_path.iterdir()] == ["z"]
+
+
 def test_unknown_arrays_are_left_out(spark, tmp_path):
     from tests.test_zarr import old_array
 
