@@ -9,7 +9,8 @@ The vector has two parts.  ``WIDE`` lanes modulo 2**64 are uniform bits of BLAKE
 whole paragraph: sums of different multisets agree in all of them by chance alone.
 ``NEAR`` lanes modulo 2**16 count the paragraph's pairs of neighbouring words, each with
 a sign in the lane that its hash names, so that the product of two texts' lanes estimates
-how many pairs they share, with an error of about ``NEAR ** -0.5`` of all.
+how many pairs they share, with an error of about ``NEAR ** -0.5`` of all.  Where one pair stands over 32,767 times
+its lane wraps: such a text's fingerprint is as good for equality, but tells little of likeness.
 
 Texts with the same fingerprint are equal but for the order of paragraphs.  This guards
 against chance, not against someone who searches for collisions of sums: for that take
