@@ -27,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ BLOCK = "part int, seq int, doc_ids array<long>, counts array<int>, control bina
 #: Words and pieces of text whose ids an executor process remembers, at most twice over.
 CACHE_WORDS = 750_000
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Marks that are a word of their own behind letters.
+MARKS = frozenset(".,;:!?")
 #: The four lengths that each control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -104,39 +107,56 @@ class LibraryIds:
         """Make every piece known; when memory is full, what wasn't asked for since the last time goes."""
         if len(self.known) + len(pieces) > CACHE_WORDS:
             self.before, self.known = self.known, {}
-        split = [(p, [p] if p.isalpha() else self.words(p)) for p in self.missing(pieces)]
         tokenize, symbols = self.library.model.tokenize, self.symbols
-        for w in self.missing({w for _, words in split for w in words}):
-            self.known[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))]).tobytes()
-        for p, words in split:
-            if len(words) > 1:
-                self.known[p] = b"".join([self.known[w] for w in words])
+        words, split = set(), []
+        for p in self.missing(pieces):
+            if p.isalpha():
+                words.add(p)
+            else:
+                # Most others are a word with one mark behind it, which needs no search.
+                split.append((p, (p[:-1], p[-1]) if p[-1] in MARKS and p[:-1].isalpha() else self.words(p)))
+        for _, found in split:
+            words.update(found)
+        new, ids, stops = self.missing(words), array("I"), [0]
+        for w in new:
+            # Printable ASCII stands for itself.
+            ids.extend([t.id for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(symbols))])
+            stops.append(len(ids))
+        raw = ids.tobytes()
+        self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new, stops, stops[1:]))
+        for p, found in split:
+            if len(found) > 1:
+                self.known[p] = b"".join([self.known[w] for w in found])
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after the other, ``end`` after each, and how many each has; give about ``PART`` characters at a time.
 
         Each different piece is looked up once; its ids are then copied to the places where it stands.
         """
-        pieces: list[str] = []
-        own = {"\n": b"" if end is None else np.uint32(end).astype("<u4").tobytes()}  # names with a line end are no pieces
-        stops = np.zeros(len(texts) + 1, np.int64)
+        # What stands before and between white space, as Python splits it; blank pieces have no ids, and names with a line end are no pieces.
+        own = {"": b"", "\n": b"" if end is None else np.uint32(end).astype("<u4").tobytes()}
+        quick, lasts = [], []
         for i, t in enumerate(texts):
-            if self.is_odd(t):
-                own[name := f"\n{i}"] = self.whole(t).astype("<u4").tobytes()
-                pieces.append(name)
-            else:
-                pieces += t.lower().split()
-            pieces.append("\n")
-            stops[i + 1] = len(pieces)
-        if not pieces:
+            odd = self.is_odd(t)
+            quick.append("" if odd else t.lower())
+            lasts.append(f"\n{i}" if odd else "\n")
+            if odd:
+                own[lasts[-1]] = self.whole(t).astype("<u4").tobytes() + own["\n"]
+        if not texts:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        at = pa.array(pieces, pa.string()).dictionary_encode().indices.to_numpy()
-        # Numbers are given in the order of first places.
-        names = [*map(pieces.__getitem__, np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1)).tolist())]
+        split = pc.utf8_split_whitespace(pa.array(quick, pa.large_string()))
+        edges = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        enders, last = np.unique(lasts, return_inverse=True)
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # Behind the pieces of each text comes what ends it, or all of it where it went to the library.
+        at = np.insert(coded.indices.to_numpy(), edges[1:] - edges[0], len(names) + last)
+        stops = edges - edges[0] + np.arange(len(edges))
+        names += enders.tolist()
         found = [*map(self.known.get, names)]
         if None in found:
             self.learn({*compress(names, map(is_, found, repeat(None)))} - own.keys())
-            found = [own.get(p) if f is None and p[0] == "\n" else self.known[p] if f is None else f for p, f in zip(names, found)]
+            found = [(own[p] if p in own else self.known[p]) if f is None else f for p, f in zip(names, found)]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ends = np.concatenate([[0], np.cumsum(sizes[at])])
         first = (np.cumsum(sizes) - sizes)[at] - ends[:-1]

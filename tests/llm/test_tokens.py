@@ -1,5 +1,6 @@
 """Operators 3 and 5 against the library, and round trips."""
 
+import tracemalloc
 from hashlib import sha256
 from zlib import crc32
 
@@ -123,3 +124,19 @@ def test_a_common_id_has_several_parts(spark):
     back = tokens.read(spark, path, with_ids=False).orderBy("start").collect()
     order = [-1 if r.doc_id is None else r.doc_id for r in back]
     assert order == sorted(order) and len(back) == 4000 and all(a.start + a.n_tokens == b.start for a, b in zip(back, back[1:]))
+
+
+def test_pieces_are_no_python_objects(library):
+    """Blanks at either end, texts for the library among others, and a common text whose pieces aren't held as strings of their own."""
+    e = tokens.LibraryIds(bpe.default_tokenizer())
+    texts = ["", " ", "\t a\xa0b,\x85c. \n", "日本 x", "it's we'll! x?!", "İx. ŉ; a\x1cb", "a" * 50 + ".", ".", "<|endoftext|>", "é.É,e."]
+    found, counts = e.encode(texts, 2)
+    want = [ids(library, t) + [2] for t in texts]
+    assert found.tolist() == sum(want, []) and counts.tolist() == [*map(len, want)]
+    common = "one two three four, five. " * 40_000
+    e.encode([common[:1000]], 2)
+    tracemalloc.start()
+    found, counts = e.encode([common], 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts[0] == len(ids(library, common)) + 1 and peak / 200_000 < 70
