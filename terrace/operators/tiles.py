@@ -16,20 +16,21 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from terrace.functions.types import Element, element
 from terrace.plans.layout import REGION_BYTES, copy_region
 
 #: The side of a tile, about, and the greatest factor that one pass spans.
 SIDE, SPAN = 512, 2048
-#: Cells that a task gathers before it sends their blocks.
-GATHER = 1 << 20
+#: Cells that a task gathers before it sends their blocks, and bytes of blocks that a task is handed at once, about.
+GATHER, HANDED = 1 << 18, 4 << 20
 WIDE = {"smallint": np.dtype("<i2"), "int": np.dtype("<i4"), "bigint": np.dtype("<i8"), "float": np.dtype("<f4"), "double": np.dtype("<f8")}
 #: Copies of a tile that a task has in hand at once, about: its cells, their mask and what a reduction makes of them.
 COPIES = 5
@@ -212,6 +213,18 @@ def pieces(b: Block, sides: Sequence[int]) -> Iterator[Block]:
 # Tiles from cells
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand about ``HANDED`` bytes at once to Python, not all blocks of a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(HANDED))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _gatherer(t: Tiling) -> tuple[Callable, str]:
     """Cells to one row for each tile and ``GATHER`` cells: the tile's number, places in it, and values."""
     counts, (sy, sx), names = t.counts, t.sides, [*t.others, t.y, t.x]
@@ -254,7 +267,9 @@ def _tiles(t: Tiling, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple
         return key, [v.reshape(t.sides)[cut] for v in values], there.reshape(t.sides)[cut]
 
     for b in batches:
-        for tile, at, *parts in zip(*(c.to_pylist() for c in b.columns)):
+        numbers, *blocks = b.columns
+        for i, tile in enumerate(numbers.to_pylist()):
+            at, *parts = (c[i].as_buffer() for c in blocks)
             if tile != now:
                 if now is not None:
                     yield shaped()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.reduce import missing
 from terrace.operators.pyramid import Pyramid
-from terrace.operators.tiles import Block, Tiling, cell_batches, fits, levels_of, missing_cells, passes, pieces, tiled_levels, tiling
+from terrace.operators.tiles import Block, Tiling, cell_batches, fits, levels_of, missing_cells, passes, pieces, small_batches, tiled_levels, tiling
 from terrace.plans.layout import REGION_BYTES
 from terrace.plans.metadata import to_json
 from terrace.plans.raster import Coordinate, Variable
@@ -288,7 +288,7 @@ def _write_tiles(pyramid: Pyramid, dims: tuple[str, ...], part: list[int], wante
     blocks = [F.floor(F.col(d) / F.element_at(F.array(*[F.lit(sides[n][i]) for n in wanted]), at + 1)) for i, d in enumerate(dims)]
     seen = Observation(f"levels-{time.time_ns()}")
     ordered = df.sortWithinPartitions("level").observe(seen, *[F.count_if(F.col("level") == n).alias(f"rows_{n}") for n in wanted])
-    with shown.watched(counted, share, math.prod(t.counts)):
+    with small_batches(spark), shown.watched(counted, share, math.prod(t.counts)):
         ordered.write.partitionBy("level").parquet(f"{cells_path(base, dims)}/pass={part[0]}")
         _gathered(spark, cells_path(base, dims), part[0])
     wall, rows = time.time() - began, seen.get

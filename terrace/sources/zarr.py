@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.operators.pyramid import Pyramid, create_pyramid
-from terrace.operators.tiles import Tiling, fits, levels_of, pieces, tiled_levels, tiling
+from terrace.operators.tiles import Tiling, fits, levels_of, pieces, small_batches, tiled_levels, tiling
 from terrace.plans.layout import REGION_BYTES, Layout
 from terrace.plans.metadata import attach_metadata, to_json
 from terrace.plans.raster import Coordinate, Raster, Variable, densified, normalised
@@ -342,7 +342,8 @@ def _write_pass(pyramid: Pyramid, dims: tuple[str, ...], part: list[int], wanted
         full: np.ndarray | None = None
         for batch in batches:
             rows = []
-            for level, variable, shard, start, shape, data, *numbers in zip(*(c.to_pylist() for c in batch.columns)):
+            places, parts, measured = batch.columns[:5], batch.column(5), batch.columns[6:]
+            for at, (level, variable, shard, start, shape, *numbers) in enumerate(zip(*(c.to_pylist() for c in (*places, *measured)))):
                 rows.append((level, -1, [], [], [], None, *numbers))
                 if variable < 0:
                     continue
@@ -352,7 +353,7 @@ def _write_pass(pyramid: Pyramid, dims: tuple[str, ...], part: list[int], wanted
                         rows.append(finished(now, full))
                     now = key
                     full = np.full(targets[level][variable].block, targets[level][variable].fill, DTYPES[targets[level][variable].dtype])
-                if data is not None:
+                if (data := parts[at].as_buffer()) is not None:
                     inside = tuple(slice(s - k * n, s - k * n + m) for s, k, n, m in zip(start, shard, targets[level][variable].block, shape))
                     full[inside] = np.frombuffer(data, full.dtype).reshape(shape)
             yield _batch(rows)
@@ -372,7 +373,7 @@ def _write_pass(pyramid: Pyramid, dims: tuple[str, ...], part: list[int], wanted
     made = tiled_levels(pyramid, dims, part, cells, emit, METRICS, max_region_bytes=max_region_bytes, parts=max_workers)
     met = made.repartition("level", "variable", "shard").sortWithinPartitions("level", "variable", "shard").mapInArrow(join, METRICS)
     names = ("objects", "skipped", "read_s", "reduce_s", "write_s")
-    with shown.watched(counted, share, math.prod(t.counts)):
+    with small_batches(spark), shown.watched(counted, share, math.prod(t.counts)):
         found = met.groupBy("level").agg(*[F.sum(n).alias(n) for n in names]).collect()
     for r in found:
         for n in names:

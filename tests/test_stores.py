@@ -4,10 +4,12 @@ import datetime as dt
 import json
 import math
 import struct
+import tracemalloc
 import warnings
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
@@ -625,3 +627,30 @@ def test_tiles_that_never_fill(spark, tmp_path):
     finish(spark, p, f"{tmp_path}/out")
     want = create_pyramid(p.source.with_frames({YX: df}, p.source.sizes, p.source.coords), 3)
     assert rows(read_stream_level(spark, f"{tmp_path}/out", YX, 2).select(*YX, "v")) == rows(want.level(2))
+
+
+def test_a_task_is_not_handed_all_its_blocks(spark, tmp_path):
+    """Tiles are made from blocks where they lie, and jobs hand few bytes at once to Python; the session's own bound comes back."""
+    t = tiles.Tiling(("y", "x"), "y", "x", (tiles.Field("v", "f64", None),), "max", (0,), (1,), ({"y": 64 * 256, "x": 64},), (256, 64))
+    at, v = np.arange(256 * 64, dtype="<i4").tobytes(), np.ones(256 * 64).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(64), pa.int64()), pa.array([at] * 64, pa.binary()), pa.array([v] * 64, pa.binary())], names=["tile", "at", "v"])
+    tracemalloc.start()
+    assert sum(int(values[0].sum()) for _, values, _ in tiles._tiles(t, iter([batch]))) == 64 * 256 * 64
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes / 8
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    with tiles.small_batches(spark):
+        big = spark.range(0, 32, 1, 1).select(F.expr("cast(repeat('x', 1000000) as binary)").alias("b"))
+        rows = [r.n for r in big.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()]
+    assert sum(rows) == 32 and max(rows) <= 6
+    p = create_pyramid(holes(spark), 2, method="max")
+    for module in (store, zarr):
+        real = module.small_batches
+        module.small_batches = lambda s: seen.append(module) or real(s)
+        try:
+            (module.write if module is store else module.write_pyramid)(p, f"file://{tmp_path}/{module.__name__}")
+        finally:
+            module.small_batches = real
+    assert {store, zarr} == set(seen) and spark.conf.get(key) == before
