@@ -1,7 +1,9 @@
 """Near copies of texts: pairs whose five-word shingles have a Jaccard similarity of ``JACCARD`` or more, and what they connect.
 
-Texts with equal sets of shingles are one *node*.  Candidates come from min-hash
-bands: a node has ``BANDS`` keys, each of ``ROWS`` minima, and two nodes at the
+Texts with equal sets of shingles are one *node*.  Candidates are nodes whose SimHash
+fingerprints, over the set of shingles, the BK-trees of ``simhash`` link; and, as most pairs
+near the threshold differ in more bits than those allow, nodes that share a key of
+min-hash bands: a node has ``BANDS`` keys, each of ``ROWS`` minima, and two nodes at the
 threshold share none of them with a probability of (1 - 0.8**4)**32, about 5e-8.
 A candidate pair counts only if the sets themselves, sent to the task where the
 key's nodes meet, are similar enough; pairs connected already are not compared.
@@ -139,6 +141,18 @@ def groups(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return _groups(rows, chunk)
 
 
+def candidate_keys(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, key`` from ``row, keys, fp`` and ``node``: the bands, and what the BK-trees connect a node's fingerprint with."""
+    from terrace.llm.simhash import link
+
+    own = signed.join(nodes.select("node"), F.col("row") == F.col("node"))
+    bands = own.select("node", F.explode("keys").alias("key"))
+    prints = materialise(own.where("size(keys) > 0").select("node", "fp"), "node-fingerprints")
+    found = components(link(prints.select("fp").distinct())).withColumnRenamed("node", "_fp")
+    linked = prints.join(found, F.col("fp") == F.col("_fp"), "left").select("node", F.xxhash64(F.lit("fingerprint"), F.coalesce("component", "fp")).alias("key"))
+    return bands.unionByName(linked)
+
+
 def _groups(rows: DataFrame, chunk: int) -> DataFrame:
     """``row, group`` from ``row, text``: rows with equal groups are near copies, directly or through others.
 
@@ -147,13 +161,16 @@ def _groups(rows: DataFrame, chunk: int) -> DataFrame:
     """
     from xxhash import xxh3_128_digest
 
+    from terrace.llm.simhash import majority
+
     def sign(texts: list[str | None]) -> list:
         sets = [shingles(t) for t in texts]
-        return [[xxh3_128_digest(s.tobytes()) for s in sets], [keys(s).view(np.int64) if len(s) else [] for s in sets]]
+        prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+        return [[xxh3_128_digest(s.tobytes()) for s in sets], [keys(s).view(np.int64) if len(s) else [] for s in sets], prints]
 
-    signed = materialise(per_text(rows, ["row"], sign, "digest binary, keys array<long>"), "signatures")
+    signed = materialise(per_text(rows, ["row"], sign, "digest binary, keys array<long>, fp long"), "signatures")
     nodes = materialise(signed.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("rows")), "nodes")
-    keyed = signed.join(nodes.select("node"), F.col("row") == F.col("node")).select("node", F.explode("keys").alias("key"))
+    keyed = candidate_keys(signed, nodes)
 
     # Nodes with a key in common meet under the key's least node, which for most of the keys of a group is the same one.
     mark = F.xxhash64("node")

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, linked through BK-trees (op2), and the pipeline's near-duplicate stage, which compares shingles themselves (``copies``).
+"""SimHash near-duplicates, linked through BK-trees (op2), and the pipeline's near-duplicate stage, which goes on to compare shingles themselves (``copies``).
 
 A document's fingerprint has a bit set where over half of its shingles' hashes
 have it.  Equal fingerprints are one from here on.  Two that differ in at most
@@ -49,6 +49,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = [0, *ends[:-1]]
     last = max(1, len(words) - shingle + 1)
     hashes = np.array([xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts[:last], ends[min(shingle, len(words)) - 1 :])], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

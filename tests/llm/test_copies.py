@@ -78,3 +78,13 @@ def test_stage_takes_rows_not_ids(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (2, b), (2, c), (None, c), (None, d), (None, d), (None, None), (3, "")], "doc_id long, text string")
     kept = sorted(map(tuple, simhash.stage(spark, docs, "").collect()), key=repr)
     assert kept == sorted([(1, a), (1, b), (2, c), (None, d), (3, "")], key=repr)
+
+
+def test_fingerprints_bring_candidates(spark):
+    """Nodes that share no band meet if the BK-trees link their fingerprints, directly or through others; texts without words don't."""
+    fps = [0b0, 0b1111, 0b11111111, -1, -2, 0]
+    signed = spark.createDataFrame([(i, [100 + i] if i < 5 else [], fp) for i, fp in enumerate(fps)], "row long, keys array<long>, fp long")
+    keys = {}
+    for r in copies.candidate_keys(signed, signed.select(signed.row.alias("node"))).collect():
+        keys.setdefault(r.key, set()).add(r.node)
+    assert sorted(sorted(k) for k in keys.values() if len(k) > 1) == [[0, 1, 2], [3, 4]] and all(5 not in k for k in keys.values())
